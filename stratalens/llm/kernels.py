@@ -87,6 +87,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every line with a word, and the row offsets in lines. Lines are split at \\n alone."""
+    newline = np.flatnonzero(data == 0x0A)
+    starts = np.union1d(newline + 1, offsets[:-1])
+    starts = starts[starts < len(data)]
+    row_ends = offsets[np.searchsorted(offsets, starts, "right")]
+    ends = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, starts)], row_ends)
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~_SPACE[data], out=total[1:])
+    wordy = total[ends] > total[starts]
+    starts, ends = starts[wordy], ends[wordy]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans: equal spans, equal hashes."""
     n = len(data)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import mixing, tiff
+from stratalens.llm import mixing, quality, tiff, warc
+from stratalens.llm.cut import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,8 +27,20 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cut(quality.statistics(_read(spark, sf_dir, "documents")), "quality-statistics")
+    rules = quality.fit(stats, _read(spark, sf_dir, "labels"))
+    failed = quality.base_failed()
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, False).otherwise(rules.keeps()).alias("kept"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = cut(warc.write(_read(spark, sf_dir, "pages")), "warc")
+    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {"op3_tiff": op3_tiff, "op10_mixing": op10_mixing}
+    return {"op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
