@@ -172,7 +172,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most_tests: int)
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.9, least: int = 5, cuts: int = 24, most_tests: int = 4, most_rules: int = 12, seed: int = 7) -> DecisionList:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.9, least: int = 3, cuts: int = 24, most_tests: int = 4, most_rules: int = 12, seed: int = 7) -> DecisionList:
     """Sequential covering of the bad rows. A rule counts only if, on rows it was not grown on, it is right with at
     least the given precision on at least `least` rows; so few clean documents go. Without both classes: no rules."""
     rules: list[Rule] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import mixing, quality, tiff, warc
+from stratalens.llm import mixing, neardup, quality, tiff, warc
 from stratalens.llm.cut import cut
 
 
@@ -39,8 +39,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), num=85)
+
+
 def queries() -> dict:
-    return {"op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
