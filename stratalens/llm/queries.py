@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import mixing, neardup, quality, tiff, warc
+from stratalens.llm import mixing, neardup, packing, quality, tiff, warc
 from stratalens.llm.cut import cut
 
 
@@ -43,8 +44,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), num=85)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
