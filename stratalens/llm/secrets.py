@@ -1,0 +1,98 @@
+"""Secret scans: fixed patterns, and sliding-window entropy over candidate strings. DataFrame functions only.
+
+Fixed patterns give the spans that an ordinary scan finds: leftmost, not overlapping, each kind on its own. Beside
+them, strings of credential-like characters with a digit among them are candidates: a window of WINDOW characters
+slides along each, the counts of its characters are kept up one character in and one out at a time, and the windows
+whose Shannon entropy reaches the threshold of the string's character class (hexadecimal, one-case alphanumeric, or
+mixed) make a span, unless the string is on the allow-list or a fixed pattern's span overlaps it.
+
+Every function is evaluated within a row; there is no shuffle. Texts without a candidate cost a few searches.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The kinds in their order, their patterns, the group that is measured, and its least length.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KINDS = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
+WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+
+WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Bits a character at which a window of each class counts as random.
+THRESHOLDS = {"hex": 2.9, "alnum": 3.45, "mixed": 3.75}
+#: Identifiers that look random and are no secrets: UUIDs, content digests with their name, sample credentials.
+ALLOW = [r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)^sha(1|256|384|512)[-_=]", r"(?i)example|sample|dummy|placeholder"]
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spans(text: str, pattern: str, group: int, least: int, kind: int) -> str:
+    """SQL: array<struct<start, kind, end>> of the matches whose group is long enough.
+
+    The text up to the end of each match, and the match itself, come from two extractions that walk alike; lengths
+    add up to places, in code points.
+    """
+    whole, p = _literal(f"(?s).*?(?:{pattern})"), _literal(pattern)
+    parts = f"arrays_zip(regexp_extract_all({text}, {whole}, 0), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
+    step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN length(x.`2`) >= {least} THEN concat(acc.spans, array(struct(acc.at + length(x.`0`) - length(x.`1`) AS start, {kind} AS kind, acc.at + length(x.`0`) AS end))) ELSE acc.spans END AS spans)"
+    return f"aggregate({parts}, struct(0 AS at, CAST(array() AS array<struct<start: int, kind: int, end: int>>) AS spans), {step}, acc -> acc.spans)"
+
+
+def _entropy(window: int) -> str:
+    """SQL lambda of a candidate struct<start, text>: it with the least start and greatest end of its random windows."""
+    bits = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
+    here = f"instr({_literal(ALPHABET)}, substring(c.text, i, 1))"
+    gone = f"CASE WHEN i > {window} THEN instr({_literal(ALPHABET)}, substring(c.text, i - {window}, 1)) ELSE 0 END"
+    # acc: counts by character, the sum of n log2 n, and the span so far; one character comes in, one goes out
+    moved = f"transform(acc.counts, (n, j) -> n + CASE WHEN j + 1 = {here} THEN 1 ELSE 0 END - CASE WHEN j + 1 = {gone} THEN 1 ELSE 0 END)"
+    came = f"acc.counts[{here} - 1]"
+    went = f"CASE WHEN i > {window} THEN acc.counts[({gone}) - 1] ELSE 0 END"
+    total = f"acc.total + CASE WHEN {here} = {gone} THEN 0D ELSE {bits}[{came} + 1] - {bits}[{came}] + CASE WHEN i > {window} THEN {bits}[{went} - 1] - {bits}[{went}] ELSE 0D END END"
+    full = f"i >= {window} AND log2({window}) - ({total}) / {window} >= c.threshold"
+    step = f"(acc, i) -> struct({moved} AS counts, {total} AS total, CASE WHEN {full} AND acc.low < 0 THEN i - {window} ELSE acc.low END AS low, CASE WHEN {full} THEN i ELSE acc.high END AS high)"
+    start = f"struct(array_repeat(0, {len(ALPHABET)}) AS counts, 0D AS total, -1 AS low, -1 AS high)"
+    return f"c -> aggregate(sequence(1, length(c.text)), {start}, {step}, acc -> struct(c.start + acc.low AS start, 3 AS kind, c.start + acc.high AS end, acc.low AS low))"
+
+
+def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), allow: Sequence[str] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> DataFrame:
+    """keep, assign, access, hex and entropy: arrays of struct<start, kind, end> found in each whole text.
+
+    Places are code points, ends exclusive. Null and empty texts have none. Rows that repeat are scanned each.
+    Letters of the keywords count in either case, of ASCII only.
+    """
+    rows = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    low = F.lower("_text")
+    named = F.lit(False)
+    for w in WORDS:
+        named = named | low.contains(w)
+    may = {"assign": named, "access": F.contains(F.col("_text"), F.lit("AKIA")), "hex": F.col("_text").rlike("[0-9a-f]{24}")}
+    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int>>)")
+    found = rows.select("*", *[F.when(may[k], F.expr(_spans("_text", p, g, n, i))).otherwise(none).alias(k) for i, (k, p, g, n) in enumerate(KINDS)])
+    # candidates: their places, their texts, the threshold of their class; then those on the allow-list go
+    whole, p = _literal(f"(?s).*?(?:{CANDIDATE})"), _literal(CANDIDATE)
+    parts = f"arrays_zip(regexp_extract_all(_text, {whole}, 0), regexp_extract_all(_text, {p}, 0))"
+    level = f"CASE WHEN x.`1` RLIKE '^[0-9a-f]+$' OR x.`1` RLIKE '^[0-9A-F]+$' THEN {thresholds['hex']}D WHEN x.`1` RLIKE '^([0-9a-z_-]+|[0-9A-Z_-]+)$' THEN {thresholds['alnum']}D ELSE {thresholds['mixed']}D END"
+    allowed = " OR ".join(f"x.`1` RLIKE {_literal(a)}" for a in allow) or "false"
+    step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN {allowed} THEN acc.found ELSE concat(acc.found, array(struct(acc.at + length(x.`0`) - length(x.`1`) AS start, x.`1` AS text, {level} AS threshold))) END AS found)"
+    candidates = f"aggregate({parts}, struct(0 AS at, CAST(array() AS array<struct<start: int, text: string, threshold: double>>) AS found), {step}, acc -> acc.found)"
+    loose = F.expr(f"filter(transform({candidates}, {_entropy(window)}), e -> e.low >= 0)")
+    loose = F.when(F.col("_text").rlike(CANDIDATE), F.transform(loose, lambda e: F.struct(e.start.alias("start"), e.kind.alias("kind"), e.end.alias("end")))).otherwise(none)
+    base = F.concat(*[k for k, *_ in KINDS])
+    clear = F.filter(loose, lambda e: ~F.exists(base, lambda b: (b.start < e.end) & (e.start < b.end)))
+    return found.select(*keep, *[k for k, *_ in KINDS], clear.alias("entropy"))
+
+
+def listing(*columns: str) -> Column:
+    """kind:start:end of spans, by start, then by kind as listed, joined by commas."""
+    names = F.array(*[F.lit(k) for k, *_ in KINDS], F.lit("entropy"))
+    ordered = F.array_sort(F.concat(*columns))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", names[s.kind], s.start.cast("string"), s.end.cast("string"))), ",")
