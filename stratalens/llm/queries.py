@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import mixing, neardup, packing, quality, secrets, tiff, warc
+from stratalens.llm import mixing, neardup, packing, quality, secrets, tiff, urls, warc
 from stratalens.llm.cut import cut
 
 
@@ -14,6 +14,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -56,7 +63,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op1_urls": op1_urls, "op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
