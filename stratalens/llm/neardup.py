@@ -18,7 +18,7 @@ full sets of word tuples.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +98,14 @@ def lists(df: DataFrame, key: str, text: str, words: int, num: int, den: int) ->
                 if values:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], ["run", "mark", "_key"])
 
+    rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(runs, "run bigint, mark bigint, _key bigint")
+    return shared_lists(rows)
+
+
+def shared_lists(rows: DataFrame) -> DataFrame:
+    """(run, _key, pivot) of the rows (run, mark, _key) whose run has several marks: each mark by its least key, and
+    the least key of the run's first mark. Sorted within partitions and read as a stream: no list is held."""
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by run, mark, key; the first row of a run waits until a second class shows up
         last_run = last_mark = pivot = None
@@ -136,11 +144,20 @@ def lists(df: DataFrame, key: str, text: str, words: int, num: int, den: int) ->
             rows = [np.concatenate([np.asarray(v, np.int64) for v in c]) for c in (out_run, out_key, out_first)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["run", "_key", "pivot"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(runs, "run bigint, mark bigint, _key bigint")
     return rows.repartition("run").sortWithinPartitions("run", "mark", "_key").mapInArrow(shared, "run bigint, _key bigint, pivot bigint")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def word_sets(words: int) -> tuple[Callable, Callable]:
+    """The hashed sets of a slice's rows, and the full set of one text."""
+
+    def members(raw: bytes) -> set:
+        w = raw.lower().split()  # bytes: folds A-Z, splits at the six spaces
+        return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)} - {()}
+
+    return lambda data, offsets: _sets(data, offsets, words), members
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= num * union (num of den).
 
     The documents of one side are grouped by the other, in groups of about GROUP, and read as a stream: a text moves
@@ -150,20 +167,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     grouped = pairs.join(per, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.expr(f"_n div {GROUP} + 1"))).alias("g"))
     asked = grouped.select("g", "a", F.lit(0).alias("role"), F.col("a").alias("_key")).distinct().union(grouped.select("g", "a", F.lit(1), F.col("b")))
     rows = asked.join(texts, "_key").select("g", "a", "role", "_key", F.col("_text").cast("binary").alias("_text"))
+    hashed, members = how
     slack = 6 * math.sqrt(num / den * (1 - num / den) / K)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_at = sketch = full = source = None
-
-        def members(raw: bytes) -> set:
-            w = raw.lower().split()  # bytes: folds A-Z, splits at the six spaces
-            return set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else {tuple(w)} - {()}
-
         for b in batches:
             a_col, role, key = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             g_col, found = b.column(0).to_numpy(zero_copy_only=False), []
             for x, _, data, offsets in kernels.text_slices(b.column(4)):
-                for i, s in enumerate(_sets(data, offsets, words), x):
+                for i, s in enumerate(hashed(data, offsets), x):
                     mine = (g_col[i], a_col[i])
                     raw = data[offsets[i - x] : offsets[i - x + 1]].tobytes()
                     if role[i] == 0:
@@ -191,20 +204,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return rows.repartition("g").sortWithinPartitions("g", "a", "role", "_key").mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row: the size of its set, the smallest key reachable over links
-    (similarity of at least num / den), and whether it is its own.
-
-    Texts that are null, empty or without a word have an empty set and no links. With fewer words than a shingle the
-    whole sequence is one. Repeated rows share a component. Other columns are not read. An empty table: no rows.
-    """
-    found = cut(sets(df, key, text, words), "near-sets")
-    linked = cut(lists(df, key, text, words, num, den), "near-lists")
-    texts = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
-    involved = linked.select("_key").distinct()
-    texts = cut(texts.join(involved, "_key"), "near-texts")
+def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int) -> DataFrame:
+    """(node, component) of the links among the members of lists (run, _key, pivot)."""
     first = linked.where("_key != pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
-    links = cut(confirm(first, texts, words, num, den), "near-links")
+    links = cut(confirm(first, texts, how, num, den), "near-links")
     parts = components(links)
     # lists that still hold several components: members outside the most frequent one meet all members of others
     placed = linked.join(parts.withColumnRenamed("node", "_key"), "_key", "left").select("run", "_key", "pivot", F.coalesce("component", "_key").alias("component"))
@@ -217,10 +220,26 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     meet = meet.where("x._key != y.pivot AND y._key != x.pivot").select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
     more = cut(meet, "near-pairs")
     if not more.isEmpty():
-        links = links.union(cut(confirm(more, texts, words, num, den), "near-links"))
+        links = links.union(cut(confirm(more, texts, how, num, den), "near-links"))
         parts = components(links)
+    discard(mixed)
+    return parts
+
+
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row: the size of its set, the smallest key reachable over links
+    (similarity of at least num / den), and whether it is its own.
+
+    Texts that are null, empty or without a word have an empty set and no links. With fewer words than a shingle the
+    whole sequence is one. Repeated rows share a component. Other columns are not read. An empty table: no rows.
+    """
+    found = cut(sets(df, key, text, words), "near-sets")
+    linked = cut(lists(df, key, text, words, num, den), "near-lists")
+    texts = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    involved = linked.select("_key").distinct()
+    texts = cut(texts.join(involved, "_key"), "near-texts")
+    parts = unite(linked, texts, word_sets(words), num, den)
     classes = found.where("n > 0").groupBy("set_a", "set_b").agg(F.min("_key").alias("_class"))
     full = found.where("n > 0").join(classes, ["set_a", "set_b"]).select("_key", "n", "_class").union(found.where("n = 0").select("_key", "n", "_key"))
     ends = full.join(parts.withColumnRenamed("node", "_class"), "_class", "left").select("_key", "n", F.coalesce("component", "_class").alias("component_id"))
-    discard(mixed)
     return ends.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_key") == F.col("component_id")).alias("kept"))

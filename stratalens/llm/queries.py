@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import mixing, neardup, packing, quality, secrets, tiff, urls, warc
+from stratalens.llm import lines, mixing, neardup, packing, quality, secretscan, tiff, urls, warc
 from stratalens.llm.cut import cut
 
 
@@ -56,14 +56,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
-    base = [k for k, *_ in secrets.KINDS]
+    found = secretscan.scan(_read(spark, sf_dir, "documents"))
+    base = [k for k, *_ in secretscan.KINDS]
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(secrets.listing(*base), 256).alias("base_sha256"), secrets.listing(*base, "entropy").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secretscan.listing(*base), 256).alias("base_sha256"), secretscan.listing(*base, "entropy").alias("spans"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.find(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_urls": op1_urls, "op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op4_lines": op4_lines, "op1_urls": op1_urls, "op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
