@@ -32,3 +32,10 @@ def discard(df: DataFrame) -> None:
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hidden(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed c0_, c1_, ... so that none clashes with a column that an operator adds, and the new
+    names of those wanted. toDF(*df.columns) names them back."""
+    names = [f"c{i}_" for i in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(w)] for w in wanted]

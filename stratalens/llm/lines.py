@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm import kernels
-from stratalens.llm.cut import cut
+from stratalens.llm.cut import cut, hidden
 from stratalens.llm.neardup import shared_lists, unite
 
 CHARS, BANDS, ROWS = 8, 14, 4
@@ -132,14 +132,16 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: int =
 
 
 def remove(df: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the lines that are not kept; rows of which no line with a word is left go, if they had one."""
+    """df without the lines that are not kept; rows of which no line with a word is left go, if they had one.
+    found: what find() gave for df; key tells rows apart but for exact repeats. Nulls pass."""
     gone = found.where("NOT kept").groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("line")).alias("_gone"))
-    rows = df.join(gone, df[key] == F.col("_key"), "left").drop("_key")
+    plain, (key_, text_) = hidden(df, key, text)
+    rows = plain.join(gone, plain[key_] == F.col("_key"), "left").drop("_key")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            texts, gone = b.column(names.index(text)), b.column(names.index("_gone"))
+            texts, gone = b.column(names.index(text_)), b.column(names.index("_gone"))
             kept, left = [], []
             for t, g in zip(texts, gone, strict=True):
                 t, g = t.as_py(), g.as_py()
@@ -153,7 +155,7 @@ def remove(df: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str =
                     t = "\n".join(lines)
                 kept.append(g is None or number > len(dropped))
                 left.append(t)
-            columns = [pa.array(left, texts.type) if n == text else b.column(n) for n in names if n != "_gone"]
+            columns = [pa.array(left, texts.type) if n == text_ else b.column(n) for n in names if n != "_gone"]
             yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != "_gone"]).filter(pa.array(kept, pa.bool_()))
 
-    return rows.mapInArrow(strip, df.schema)
+    return rows.mapInArrow(strip, plain.schema).toDF(*df.columns)

@@ -79,18 +79,19 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def statistics(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns keep and the columns COUNTS (bigint) of each whole text. Null and empty texts count 0 throughout."""
-    taken = set(keep)
-    assert not taken & set(COUNTS), f"columns {taken & set(COUNTS)} clash with statistics"
-    src = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    """The columns keep and the columns COUNTS (bigint) of each whole text. Null and empty texts count 0 throughout.
+    Columns in keep must not be named like COUNTS (see cut.hidden); text may be one of them."""
+    keep = list(keep)
+    src = df.select(*keep) if text in keep else df.select(*keep, text)
+    at = src.columns.index(text)
+    schema = T.StructType([*src.schema.fields[: len(keep)], *[T.StructField(c, T.LongType()) for c in COUNTS]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros((len(COUNTS), len(b)), np.int64)
-            for x, y, data, offsets in kernels.text_slices(b.column(len(keep))):
+            for x, y, data, offsets in kernels.text_slices(b.column(at)):
                 out[:, x:y] = counts(data, offsets)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c) for c in out]], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(c) for c in out]], schema.names)
 
     return src.mapInArrow(count, schema)
 
