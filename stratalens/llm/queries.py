@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import lines, mixing, neardup, packing, quality, secretscan, tiff, urls, warc
+from stratalens.llm import lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
 from stratalens.llm.cut import cut
 
 
@@ -66,8 +66,12 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.find(_read(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op4_lines": op4_lines, "op1_urls": op1_urls, "op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
+    return {"op2_suffixes": op2_suffixes, "op4_lines": op4_lines, "op1_urls": op1_urls, "op8_secrets": op8_secrets, "op5_packing": op5_packing, "op7_neardup": op7_neardup, "op3_tiff": op3_tiff, "op6_quality": op6_quality, "op9_warc": op9_warc, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
