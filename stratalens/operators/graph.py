@@ -25,7 +25,12 @@ def dedupe(triples_: DataFrame, order: str) -> DataFrame:
 
 def pattern_edges(sections: DataFrame, most: int = 3) -> DataFrame:
     """(source, target, type, confidence): at most so many hits of each pattern a section, longer than two letters."""
-    hits = [F.transform(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(1)), 1, most), lambda t, r=relation: F.struct(F.lit(r).alias("type"), t.alias("target"))) for p, relation in vocab.RELATIONS]
+
+    def hits_of(pattern: str, relation: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1))
+        return F.transform(F.slice(found, 1, most), lambda t: F.struct(F.lit(relation).alias("type"), t.alias("target")))
+
+    hits = [hits_of(p, relation) for p, relation in vocab.RELATIONS]
     return sections.select(F.col("ticker").alias("source"), F.explode(F.concat(*hits)).alias("h")).select("source", "h.target", "h.type", F.lit(0.6).alias("confidence")).where(F.length("target") > 2).distinct()
 
 

@@ -129,13 +129,13 @@ def filing_sections(content: str, filing_type: str) -> list[dict]:
     """Sections between header positions (50 characters or more); else by headers of parsed nodes (100 or more);
     else the full document."""
     hits = header_hits(content, filing_type)
-    ends = [h[0] for h in hits[1:]] + [len(content)]
+    ends = [*[h[0] for h in hits[1:]], len(content)][: len(hits)]
     found = [_section(sid, title, html_nodes(content[at:end]), 50) for (at, sid, title), end in zip(hits, ends, strict=True)]
     if found := [s for s in found if s]:
         return found
     nodes = html_nodes(content)
     starts = [(i, sid, title) for i, (kind, v) in enumerate(nodes) if kind == "text" for pattern, sid, title in vocab.FALLBACK_SECTIONS if re.search(pattern, v, re.IGNORECASE)]
-    ends = [s[0] for s in starts[1:]] + [len(nodes)]
+    ends = [*[s[0] for s in starts[1:]], len(nodes)][: len(starts)]
     found = [_section(sid, title, nodes[a:max(b, a + 1)], 100) for (a, sid, title), b in zip(starts, ends, strict=True)]
     whole = _section("full_document", "Full Document", nodes, 0)
     return [s for s in found if s] or ([whole] if whole and whole["text"] else [])
