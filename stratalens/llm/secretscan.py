@@ -39,9 +39,10 @@ def _spans(text: str, pattern: str, group: int, least: int, kind: int) -> str:
     """SQL: array<struct<start, kind, end>> of the matches whose group is long enough.
 
     The text up to the end of each match, and the match itself, come from two extractions that walk alike; lengths
-    add up to places, in code points.
+    add up to places, in code points. \\G holds each step to where the last one ended: what follows the last match is
+    looked through once.
     """
-    whole, p = _literal(f"(?s).*?(?:{pattern})"), _literal(pattern)
+    whole, p = _literal(rf"\G(?s:.*?)(?:{pattern})"), _literal(pattern)
     parts = f"arrays_zip(regexp_extract_all({text}, {whole}, 0), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
     step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN length(x.`2`) >= {least} THEN concat(acc.spans, array(struct(acc.at + length(x.`0`) - length(x.`1`) AS start, {kind} AS kind, acc.at + length(x.`0`) AS end))) ELSE acc.spans END AS spans)"
     return f"aggregate({parts}, struct(0 AS at, CAST(array() AS array<struct<start: int, kind: int, end: int>>) AS spans), {step}, acc -> acc.spans)"
@@ -78,7 +79,7 @@ def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), a
     none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int>>)")
     found = rows.select("*", *[F.when(may[k], F.expr(_spans("_text", p, g, n, i))).otherwise(none).alias(k) for i, (k, p, g, n) in enumerate(KINDS)])
     # candidates: their places, their texts, the threshold of their class; then those on the allow-list go
-    whole, p = _literal(f"(?s).*?(?:{CANDIDATE})"), _literal(CANDIDATE)
+    whole, p = _literal(rf"\G(?s:.*?)(?:{CANDIDATE})"), _literal(CANDIDATE)
     parts = f"arrays_zip(regexp_extract_all(_text, {whole}, 0), regexp_extract_all(_text, {p}, 0))"
     level = f"CASE WHEN x.`1` RLIKE '^[0-9a-f]+$' OR x.`1` RLIKE '^[0-9A-F]+$' THEN {thresholds['hex']}D WHEN x.`1` RLIKE '^([0-9a-z_-]+|[0-9A-Z_-]+)$' THEN {thresholds['alnum']}D ELSE {thresholds['mixed']}D END"
     allowed = " OR ".join(f"x.`1` RLIKE {_literal(a)}" for a in allow) or "false"
