@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.llm import sql as twins
 from stratalens.llm import lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
 from stratalens.llm.cut import cut
 
@@ -75,4 +76,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others no SQL can give the rows: they hold hashes of written files, learned rules, Java hash orders or
+    linear programs. Tests hold them against brute force."""
+    return {"op1_urls": twins.urls(RULES)}

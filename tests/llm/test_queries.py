@@ -238,6 +238,13 @@ def test_urls(spark):
     r = by_key(urls.judge(pages, Q.RULES), "page_id")
     assert [r[i].verdict for i in range(1, 14)] == ["block", "block", "block", "block", "allow", "allow", "block", "allow", "allow", "allow", "block", "allow", "block"]
     assert (r[5].host, r[5].path, r[5].rule) == ("example.com", "/en/77", "example.com/en/7") and (r[8].host, r[8].path, r[8].rule) == ("", "", None) == (r[9].host, r[9].path, r[9].rule)
+    duckdb = pytest.importorskip("duckdb")
+    pd = pytest.importorskip("pandas")
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    columns = ["page_id", "host", "path", "rule", "verdict", "alias_of"]
+    twin = con.sql(Q.oracle_sql()["op1_urls"]).fetchall()
+    assert sorted(map(repr, twin)) == sorted(repr(tuple(x[c] for c in columns)) for x in urls.judge(pages, Q.RULES).collect())
     assert r[11].rule == "example.net/de/8" and urls.judge(pages, Q.RULES).count() == 14
     more = spark.createDataFrame([("http://b.example.fr/x", "http://example.com/en/7")], "from_url string, to_url string")
     assert by_key(urls.judge(pages, Q.RULES, redirects=more), "page_id")[2].verdict == "allow"
