@@ -3,13 +3,14 @@
 A document's set is its distinct word shingles. Its sketch is the k smallest of their hashes, in order. Sketches are
 inverted on runs of consecutive retained values: two sets that differ in d of the u values of their union share
 u - d values in at most d + 1 runs, so a pair over the threshold always shares a run of a length that follows from u
-(see run_lengths) when the sets fit in their sketches; in longer sets it shares one unless every stretch of four
-among 60 random retained values is broken, which for a similarity of 0.85 has odds of about 1e-8. Runs keep a
-passage that thousands of documents share from pairing them all, which single values would.
+(see run_lengths) when the sets fit in their sketches; in longer sets it shares one unless every stretch of that
+length among random retained values is broken, which has odds of at most MISS right at the threshold and fewer above
+it. Runs keep a passage that thousands of documents share from pairing them all, which single values would.
 
 Lists of the same run are handled without emitting their pairs: equal sets are one class; each class is first
 paired with its list's least member only; links confirmed so are united, and only lists that still hold several
-components pair members of different ones. What no pair is made for is in one component already, so no link is lost.
+components pair members of different ones, of sizes that fit and with one-bit minima (BITS of them) that do not put
+them six standard errors under the threshold. What no pair is made for is in one component already.
 
 Candidates whose union sketch estimates a similarity far below the threshold are dropped; the rest is confirmed on
 full sets of word tuples.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,20 @@ from stratalens.llm import kernels
 from stratalens.llm.components import components
 from stratalens.llm.cut import cut, discard
 
-K, LONGEST_RUN, GROUP = 64, 4, 256
+K, GROUP, BITS, MISS = 64, 256, 128, 2e-5
+
+
+@lru_cache
+def longest_run(num: int, den: int) -> int:
+    """The longest run length whose odds of being broken everywhere among K random retained values, of which num / den
+    are shared, are at most MISS."""
+    for length in (6, 5, 4, 3):
+        state = np.eye(1, length)[0]  # odds of each length of the run that is open
+        for _ in range(K - 4):
+            state = np.append(state.sum() * (1 - num / den), state[:-1] * num / den)
+        if state.sum() <= MISS:
+            return length
+    return 2
 
 
 def run_lengths(n: int, num: int, den: int) -> list[int]:
@@ -37,8 +52,8 @@ def run_lengths(n: int, num: int, den: int) -> list[int]:
     out = set()
     for u in range(n, min(n * den // num, 4 * K) + 1):
         d = u - -(-num * u // den)
-        out.add(max(1, min(LONGEST_RUN, -(-(u - d) // (d + 1)))))
-    return sorted(out) or [LONGEST_RUN]
+        out.add(max(1, min(longest_run(num, den), -(-(u - d) // (d + 1)))))
+    return sorted(out) or [longest_run(num, den)]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -204,6 +219,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable],
     return rows.repartition("g").sortWithinPartitions("g", "a", "role", "_key").mapInArrow(compare, "a bigint, b bigint")
 
 
+def signatures(texts: DataFrame, how: tuple[Callable, Callable]) -> DataFrame:
+    """(_key, n, bits_0, bits_1): the size of each text's set, and one bit of each of BITS hash functions' minima."""
+    hashed = how[0]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = [int(x) | 1 for x in kernels.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)]
+        for b in batches:
+            out = np.zeros((3, len(b)), np.uint64)
+            for x, _, data, offsets in kernels.text_slices(b.column(1)):
+                for i, s in enumerate(hashed(data, offsets), x):
+                    if not len(s):
+                        continue
+                    low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+                    out[0, i] = len(s)
+                    for j, factor in enumerate(factors):
+                        mixed = low * np.uint32(factor)
+                        mixed ^= mixed >> np.uint32(15)
+                        least = int(mixed.min()) * 0x85EBCA6B & 0xFFFFFFFF
+                        out[1 + j // 64, i] |= np.uint64((least >> 31) << j % 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c.view(np.int64)) for c in out]], ["_key", "n", "bits_0", "bits_1"])
+
+    return texts.select("_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(sign, "_key bigint, n bigint, bits_0 bigint, bits_1 bigint")
+
+
 def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int) -> DataFrame:
     """(node, component) of the links among the members of lists (run, _key, pivot)."""
     first = linked.where("_key != pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
@@ -213,9 +252,14 @@ def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], n
     placed = linked.join(parts.withColumnRenamed("node", "_key"), "_key", "left").select("run", "_key", "pivot", F.coalesce("component", "_key").alias("component"))
     mixed = cut(placed.groupBy("run", "component").agg(F.count("*").alias("_n")), "near-mixed")
     most = mixed.groupBy("run").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("most")).where("_parts > 1").drop("_parts")
-    open_lists = placed.join(most, "run")
+    wide = placed.join(most, "run")
+    signed = cut(signatures(texts, how), "near-bits")
+    open_lists = wide.join(signed, "_key")
     few = open_lists.where("component != most").alias("x")
-    meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))))
+    off = (1 - num / den) / 2
+    differ = F.bit_count(F.col("x.bits_0").bitwiseXOR(F.col("y.bits_0"))) + F.bit_count(F.col("x.bits_1").bitwiseXOR(F.col("y.bits_1")))
+    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= BITS * off + 6 * math.sqrt(BITS * off * (1 - off)))
+    meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))) & near)
     # pairs with the list's least member have been looked at
     meet = meet.where("x._key != y.pivot AND y._key != x.pivot").select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
     more = cut(meet, "near-pairs")
