@@ -8,9 +8,9 @@ length among random retained values is broken, which has odds of at most MISS ri
 it. Runs keep a passage that thousands of documents share from pairing them all, which single values would.
 
 Lists of the same run are handled without emitting their pairs: equal sets are one class; each class is first
-paired with its list's least member only; links confirmed so are united, and only lists that still hold several
-components pair members of different ones, of sizes that fit and with one-bit minima (BITS of them) that do not put
-them six standard errors under the threshold. What no pair is made for is in one component already.
+paired with one member of its list only, the one whose runs the most others share (of edited copies, the original); links confirmed so are united, and only lists that still hold several
+components pair members of different ones, of sizes that fit and with one-bit minima that do not put them SPREAD
+standard errors under the threshold. What no pair is made for is in one component already.
 
 Candidates whose union sketch estimates a similarity far below the threshold are dropped; the rest is confirmed on
 full sets of word tuples.
@@ -31,7 +31,8 @@ from stratalens.llm import kernels
 from stratalens.llm.components import components
 from stratalens.llm.cut import cut, discard
 
-K, GROUP, BITS, MISS = 64, 256, 128, 2e-5
+K, GROUP, MISS = 64, 256, 2e-5
+BITS, SPREAD = 1024, 4.5  # one-bit minima, and the standard errors under the threshold that they may put a pair
 
 
 @lru_cache
@@ -117,9 +118,10 @@ def lists(df: DataFrame, key: str, text: str, words: int, num: int, den: int) ->
     return shared_lists(rows)
 
 
-def shared_lists(rows: DataFrame) -> DataFrame:
+def shared_lists(rows: DataFrame, marked: bool = True) -> DataFrame:
     """(run, _key, pivot) of the rows (run, mark, _key) whose run has several marks: each mark by its least key, and
-    the least key of the run's first mark. Sorted within partitions and read as a stream: no list is held."""
+    the least key of the run's first mark. Sorted within partitions and read as a stream: no list is held. Rows that
+    are not marked have their key as their mark."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by run, mark, key; the first row of a run waits until a second class shows up
@@ -159,7 +161,10 @@ def shared_lists(rows: DataFrame) -> DataFrame:
             rows = [np.concatenate([np.asarray(v, np.int64) for v in c]) for c in (out_run, out_key, out_first)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["run", "_key", "pivot"])
 
-    return rows.repartition("run").sortWithinPartitions("run", "mark", "_key").mapInArrow(shared, "run bigint, _key bigint, pivot bigint")
+    order = ["run", "mark", "_key"] if marked else ["run", "_key"]
+    ranked = rows.repartition("run").sortWithinPartitions(*order)
+    ranked = ranked if marked else ranked.select("run", F.col("_key").alias("mark"), "_key")
+    return ranked.mapInArrow(shared, "run bigint, _key bigint, pivot bigint")
 
 
 def word_sets(words: int) -> tuple[Callable, Callable]:
@@ -172,11 +177,12 @@ def word_sets(words: int) -> tuple[Callable, Callable]:
     return lambda data, offsets: _sets(data, offsets, words), members
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= num * union (num of den).
 
     The documents of one side are grouped by the other, in groups of about GROUP, and read as a stream: a text moves
-    once for each of its groups. A union sketch that estimates six standard errors too little spares the full sets.
+    once for each of its groups. With sketch, a union
+    sketch that estimates six standard errors too little spares the full sets.
     """
     per = pairs.groupBy("a").agg(F.count("*").alias("_n"))
     grouped = pairs.join(per, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.expr(f"_n div {GROUP} + 1"))).alias("g"))
@@ -186,85 +192,99 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable],
     slack = 6 * math.sqrt(num / den * (1 - num / den) / K)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_at = sketch = full = source = None
+        group = mine = full = source = None
         for b in batches:
-            a_col, role, key = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            g_col, found = b.column(0).to_numpy(zero_copy_only=False), []
+            g_col, a_col, role, key = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
+            found = []
             for x, _, data, offsets in kernels.text_slices(b.column(4)):
-                for i, s in enumerate(hashed(data, offsets), x):
-                    mine = (g_col[i], a_col[i])
-                    raw = data[offsets[i - x] : offsets[i - x + 1]].tobytes()
-                    if role[i] == 0:
-                        if open_at != mine:
-                            open_at, sketch, full, source = mine, s, None, raw
-                        continue
-                    if open_at != mine:
-                        continue
-                    small, large = sorted((len(s), len(sketch)))
-                    if small * den < num * large or not small:
+                raw = data.tobytes()
+                at = offsets.tolist()
+                hashes = hashed(data, offsets) if sketch else None
+                for i in range(len(at) - 1):
+                    s = next(hashes) if sketch else None
+                    row, text = x + i, raw[at[i] : at[i + 1]]
+                    if role[row] == 0:
+                        if group != (g_col[row], a_col[row]):
+                            group, mine, full, source = (g_col[row], a_col[row]), s, None, text
                         continue
-                    union = np.union1d(s[:K], sketch[:K])[:K]
-                    both = np.isin(union, s[:K], assume_unique=True) & np.isin(union, sketch[:K], assume_unique=True)
-                    if both.sum() < (num / den - slack) * len(union):
+                    if group != (g_col[row], a_col[row]):
                         continue
+                    if sketch:
+                        small, large = sorted((len(s), len(mine)))
+                        if small * den < num * large or not small:
+                            continue
+                        union = np.union1d(s[:K], mine[:K])[:K]
+                        both = np.isin(union, s[:K], assume_unique=True) & np.isin(union, mine[:K], assume_unique=True)
+                        if both.sum() < (num / den - slack) * len(union):
+                            continue
                     if full is None:
                         full = members(source)
-                    other = members(raw)
+                    other = members(text)
                     shared = len(full & other)
                     if shared * den >= num * (len(full) + len(other) - shared):
-                        found.append((a_col[i], key[i]))
+                        found.append((a_col[row], key[row]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     return rows.repartition("g").sortWithinPartitions("g", "a", "role", "_key").mapInArrow(compare, "a bigint, b bigint")
 
 
-def signatures(texts: DataFrame, how: tuple[Callable, Callable]) -> DataFrame:
-    """(_key, n, bits_0, bits_1): the size of each text's set, and one bit of each of BITS hash functions' minima."""
-    hashed = how[0]
+def signatures(texts: DataFrame, how: tuple[Callable, Callable], bits: int) -> DataFrame:
+    """(_key, n, bits_0, bits_1, ...): the size of each text's set, and one bit of each of bits hash functions' minima."""
+    hashed, names = how[0], [f"bits_{i}" for i in range(bits // 64)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = [int(x) | 1 for x in kernels.mix(np.arange(1, BITS + 1, dtype=np.uint64)) >> np.uint64(32)]
+        factors = (kernels.mix(np.arange(1, bits + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         for b in batches:
-            out = np.zeros((3, len(b)), np.uint64)
+            out = np.zeros((len(b), 1 + bits // 64), np.uint64)
             for x, _, data, offsets in kernels.text_slices(b.column(1)):
                 for i, s in enumerate(hashed(data, offsets), x):
                     if not len(s):
                         continue
                     low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
-                    out[0, i] = len(s)
-                    for j, factor in enumerate(factors):
-                        mixed = low * np.uint32(factor)
-                        mixed ^= mixed >> np.uint32(15)
-                        least = int(mixed.min()) * 0x85EBCA6B & 0xFFFFFFFF
-                        out[1 + j // 64, i] |= np.uint64((least >> 31) << j % 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c.view(np.int64)) for c in out]], ["_key", "n", "bits_0", "bits_1"])
+                    least = np.full(bits, 0xFFFFFFFF, np.uint32)
+                    for at in range(0, len(low), 64):
+                        np.minimum(least, (low[at : at + 64, None] * factors).min(axis=0), out=least)
+                    ones = kernels.mix(least.astype(np.uint64)) & np.uint64(1)
+                    out[i, 0] = len(s)
+                    out[i, 1:] = np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
+            columns = np.ascontiguousarray(out.T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], ["_key", "n", *names])
+
+    return texts.select("_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(sign, "_key bigint, n bigint, " + ", ".join(f"{n} bigint" for n in names))
+
 
-    return texts.select("_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(sign, "_key bigint, n bigint, bits_0 bigint, bits_1 bigint")
+def around_originals(linked: DataFrame) -> DataFrame:
+    """linked with another pivot for each run: the member whose runs have the most members in all; of equals the least."""
+    counts = linked.groupBy("run").agg(F.count("*").alias("_n"))
+    shared = linked.join(counts, "run").groupBy("_key").agg(F.sum("_n").alias("_shared"))
+    pivots = linked.join(shared, "_key").groupBy("run").agg(F.max_by("_key", F.struct("_shared", F.bitwise_not("_key"))).alias("pivot"))
+    return linked.select("run", "_key").join(pivots, "run")
 
 
-def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int) -> DataFrame:
+def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True, bits: int = BITS) -> DataFrame:
     """(node, component) of the links among the members of lists (run, _key, pivot)."""
+    linked = cut(around_originals(linked), "near-pivots")
     first = linked.where("_key != pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
-    links = cut(confirm(first, texts, how, num, den), "near-links")
+    links = cut(confirm(first, texts, how, num, den, sketch), "near-links")
     parts = components(links)
     # lists that still hold several components: members outside the most frequent one meet all members of others
     placed = linked.join(parts.withColumnRenamed("node", "_key"), "_key", "left").select("run", "_key", "pivot", F.coalesce("component", "_key").alias("component"))
     mixed = cut(placed.groupBy("run", "component").agg(F.count("*").alias("_n")), "near-mixed")
     most = mixed.groupBy("run").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("most")).where("_parts > 1").drop("_parts")
     wide = placed.join(most, "run")
-    signed = cut(signatures(texts, how), "near-bits")
+    signed = cut(signatures(texts, how, bits), "near-bits")
     open_lists = wide.join(signed, "_key")
     few = open_lists.where("component != most").alias("x")
     off = (1 - num / den) / 2
-    differ = F.bit_count(F.col("x.bits_0").bitwiseXOR(F.col("y.bits_0"))) + F.bit_count(F.col("x.bits_1").bitwiseXOR(F.col("y.bits_1")))
-    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= BITS * off + 6 * math.sqrt(BITS * off * (1 - off)))
+    differ = sum((F.bit_count(F.col(f"x.bits_{i}").bitwiseXOR(F.col(f"y.bits_{i}"))) for i in range(bits // 64)), F.lit(0))
+    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= bits * off + SPREAD * math.sqrt(bits * off * (1 - off)))
     meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))) & near)
     # pairs with the list's least member have been looked at
     meet = meet.where("x._key != y.pivot AND y._key != x.pivot").select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
     more = cut(meet, "near-pairs")
     if not more.isEmpty():
-        links = links.union(cut(confirm(more, texts, how, num, den), "near-links"))
+        links = links.union(cut(confirm(more, texts, how, num, den, sketch), "near-links"))
         parts = components(links)
     discard(mixed)
     return parts
