@@ -1,9 +1,10 @@
 """Token ids of whole texts, as the tokenizers library gives them, at the speed of a dictionary.
 
 The public word BPE never joins tokens across white space, so a text's ids are those of its white-space separated
-words, one after the other. Words that a worker has met come from a dictionary; new ones are encoded by the library,
-a batch at a time. That shortcut holds for texts of characters whose normalisation is plain lower-casing; any other
-text, and any that names a special token, is encoded whole by the library. So ids always equal the library's.
+words, one after the other. Words that a worker has met come from a dictionary; new ones are split as the library
+splits them and their pieces encoded by its model. That shortcut holds for texts of characters whose normalisation is
+plain lower-casing; any other text, and any that names a special token, is encoded whole by the library. So ids
+always equal the library's.
 """
 
 from __future__ import annotations
@@ -12,12 +13,37 @@ import os
 import re
 
 import numpy as np
+import regex
 
 #: Characters that NFC leaves alone and that lower-case one by one: white space, ASCII, Latin letters without the
 #: dotted capital I, Cyrillic, kana, common Han and Hangul syllables.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏА-яЁёぁ-ゖァ-ヺ一-鿿가-힣‐-‧€]")
 MOST_WORDS = 600_000
 
+#: Fixed value: how the vocabulary's tokenizer splits words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level letters: a byte is its own Latin-1 letter if that is printable, else the next one from 256 on."""
+    out, following = [], 256
+    for b in range(256):
+        shown = 0x21 <= b <= 0x7E or 0xA1 <= b and b != 0xAD
+        out.append(chr(b if shown else following))
+        following += not shown
+    return out
+
+
+_BYTE = _byte_letters()
+
+
+def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """values from at on; the table is doubled until they fit."""
+    while at + len(values) > len(table):
+        table = np.concatenate([table, np.zeros_like(table)])
+    table[at : at + len(values)] = values
+    return table
+
 
 class Encoder:
     """Encodes texts; keeps the ids of at most MOST_WORDS words (then starts anew)."""
@@ -33,21 +59,30 @@ class Encoder:
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
+        self.pieces: dict[str, list[int]] = {}
 
     def _learn(self, words: list[str]) -> None:
         if len(self.place) + len(words) > MOST_WORDS:
             self.place.clear()
             self.used = 0
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, at = got.ids, len(self.place)
-            if at == len(self.start):
-                self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[at], self.length[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[word] = at
+            self.pieces.clear()
+        flat: list[int] = []
+        ends: list[int] = []
+        pieces, tokenize = self.pieces, self.tokenizer.model.tokenize
+        for word in words:
+            for piece in (word,) if word.isalpha() else _PIECE.findall(word):
+                got = pieces.get(piece)
+                if got is None:
+                    got = pieces[piece] = [t.id for t in tokenize("".join([_BYTE[x] for x in piece.encode()]))]
+                flat += got
+            ends.append(len(flat))
+        first = len(self.place)
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+        stops = self.used + np.array(ends, np.int64)
+        self.start = _put(self.start, first, np.concatenate([[self.used], stops[:-1]]))
+        self.length = _put(self.length, first, np.diff(stops, prepend=self.used))
+        self.flat = _put(self.flat, self.used, np.array(flat, np.uint32))
+        self.used += len(flat)
 
     def ids(self, text: str) -> np.ndarray:
         if _PLAIN.search(text) or any(s in text for s in self.special):
