@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import scoring as S
-from stratalens.functions import tags, vocab
+from stratalens.functions import tags
 from stratalens.functions import text as T
 from stratalens.operators import aggregate as A
 from stratalens.operators import chunks as C
@@ -393,10 +393,11 @@ def kg_evidence(spark, sf_dir):
     return G.evidence(e, s).withColumn("evidence", F.array_join("evidence", "|"))
 
 
-@query(f"""WITH {V.EDGES}, b AS (SELECT source AS a, target AS z FROM edges UNION SELECT target, source FROM edges), s AS (SELECT 's' || s_suppkey AS start FROM supplier WHERE s_suppkey <= 20), h1 AS (SELECT DISTINCT start, z AS node FROM s JOIN b ON start = a), h2 AS (SELECT DISTINCT start, z AS node FROM h1 JOIN b ON node = a)
+@query(f"""WITH {V.EDGES}, b AS (SELECT source AS a, target AS z FROM edges UNION SELECT target, source FROM edges), s AS (SELECT 'n' || n_nationkey AS start FROM nation), h1 AS (SELECT DISTINCT start, z AS node FROM s JOIN b ON start = a), h2 AS (SELECT DISTINCT start, z AS node FROM h1 JOIN b ON node = a)
 SELECT start, node, min(hops) AS hops FROM (SELECT start, node, 1 AS hops FROM h1 UNION ALL SELECT start, node, 2 FROM h2) WHERE node <> start GROUP BY start, node""")
 def kg_neighbors_depth2(spark, sf_dir):
-    start = V.table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
+    """From every nation: its suppliers and region, and the region's other nations."""
+    start = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
     return G.reachable(V.edges(spark, sf_dir), start, 2)
 
 
