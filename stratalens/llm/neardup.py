@@ -274,13 +274,16 @@ def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], n
     most = mixed.groupBy("run").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("most")).where("_parts > 1").drop("_parts")
     wide = placed.join(most, "run")
     signed = cut(signatures(texts, how, bits), "near-bits")
-    open_lists = wide.join(signed, "_key")
+    held = wide.groupBy("_key").agg(F.collect_list("run").alias("runs"))  # as many as a document has runs, at most
+    open_lists = wide.join(signed.join(held, "_key"), "_key")
     few = open_lists.where("component != most").alias("x")
     off = (1 - num / den) / 2
     differ = sum((F.bit_count(F.col(f"x.bits_{i}").bitwiseXOR(F.col(f"y.bits_{i}"))) for i in range(bits // 64)), F.lit(0))
     near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= bits * off + SPREAD * math.sqrt(bits * off * (1 - off)))
-    meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))) & near)
-    # pairs with the list's least member have been looked at
+    # a pair that shares several runs meets at the least of them
+    once = F.col("x.run") == F.array_min(F.array_intersect("x.runs", "y.runs"))
+    meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))) & near & once)
+    # pairs with a list's pivot have been looked at
     meet = meet.where("x._key != y.pivot AND y._key != x.pivot").select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
     more = cut(meet, "near-pairs")
     if not more.isEmpty():
