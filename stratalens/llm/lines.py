@@ -1,10 +1,11 @@
 """Fuzzy line dedup: of lines that say nearly the same anywhere in the corpus, the first stays.
 
 A line is what \\n separates and that has a word; its set is its distinct shingles of `chars` characters, A-Z
-lower-cased (a shorter line is one shingle). MinHash signatures over that set are banded: with 14 bands of 4 values, a pair of
-similarity 0.8 shares a band with odds of 0.9994. Lines of a band's bucket are candidates; they are confirmed by the
-exact Jaccard similarity of full sets, and united in components as near-duplicate documents are. Lines with equal
-bytes are one line from the start, so a line that millions of documents have is one member of each bucket.
+lower-cased (a shorter line is one shingle). MinHash signatures over that set are banded: with 14 bands of 4 values,
+a pair of similarity 0.8 shares a band with odds of 0.9994, one of 0.9 with odds of 0.9999999. Lines of a band's
+bucket are candidates; they are confirmed by the exact Jaccard similarity of full sets, and united in components as
+near-duplicate documents are. Lines with equal bytes are one line from the start, so a line that millions of documents
+have is one member of each bucket.
 """
 
 from __future__ import annotations
@@ -39,11 +40,9 @@ def _signatures(shingles: np.ndarray, at: np.ndarray, values: int) -> np.ndarray
     """values minima of multiplied hashes for each line."""
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     out = np.empty((values, len(at) - 1), np.uint32)
-    factors = np.random.default_rng(4).integers(1, 1 << 31, values, np.uint32) * np.uint32(2) + np.uint32(1)
+    factors = (kernels.mix(np.arange(1, values + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     for i, factor in enumerate(factors):
-        mixed = low * factor
-        mixed ^= mixed >> np.uint32(15)
-        out[i] = np.minimum.reduceat(mixed, at[:-1])
+        out[i] = np.minimum.reduceat(low * factor, at[:-1])
     return out
 
 
@@ -75,15 +74,14 @@ def buckets(df: DataFrame, text: str, chars: int, bands: int, rows: int) -> Data
                     continue
                 shingles, at = _shingles(data, starts[once], ends[once], chars)
                 signature = _signatures(shingles, at, bands * rows)
-                for i in range(bands):
-                    value = np.full(len(once), i + 1, np.uint64)
-                    for r in range(rows):
-                        value *= np.uint64(0x9DDFEA08EB382D69)
-                        value += signature[i * rows + r]
-                    yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(value).view(np.int64)), pa.array(hashes.view(np.int64))], ["run", "_key"])
+                value = np.repeat(np.arange(1, bands + 1, dtype=np.uint64), len(once)).reshape(bands, -1)
+                for r in range(rows):
+                    value *= np.uint64(0x9DDFEA08EB382D69)
+                    value += signature[r::rows]
+                yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(value.ravel()).view(np.int64)), pa.array(np.tile(hashes, bands).view(np.int64))], ["run", "_key"])
 
     found = df.select(F.col(text).alias("_text")).mapInArrow(band, "run bigint, _key bigint")
-    return shared_lists(found.select("run", F.col("_key").alias("mark"), "_key"))
+    return shared_lists(found, marked=False)
 
 
 def line_texts(df: DataFrame, text: str) -> DataFrame:
@@ -123,7 +121,8 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: int =
     linked = cut(buckets(df, text, chars, bands, rows), "line-buckets")
     involved = linked.select("_key").distinct()
     texts = cut(line_texts(df, text).join(involved, "_key").groupBy("_key").agg(F.first("_text").alias("_text")), "line-texts")
-    parts = unite(linked, texts, _char_sets(chars), num, den)
+    # lines are short: their full sets cost less than sketches would
+    parts = unite(linked, texts, _char_sets(chars), num, den, sketch=False, bits=512)
     every = occurrences(df, key, text).join(parts.withColumnRenamed("node", "_line"), "_line", "left").select("_key", "line", F.coalesce("component", "_line").alias("_part"))
     every = cut(every, "line-parts")
     first = every.groupBy("_part").agg(F.min(F.struct("_key", "line")).alias("_first"))
