@@ -205,6 +205,11 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     columns = ratios()
     known = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
     rows = stats.where(~base_failed()).join(known, stats[key] == F.col("_key")).select("_key", "_label", *[c.alias(n) for n, c in columns.items()])
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), F.col("_key")), "_key", "_label", *columns).limit(max_labelled).toPandas()
+    # a seeded hash keeps about as many rows as are asked for; what is over that is cut off in order
+    order = F.xxhash64(F.lit(seed), F.col("_key"))
+    n = rows.count()
+    if n > max_labelled:
+        rows = rows.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 0.97 * max_labelled / n))
+    sample = rows.orderBy(order, "_key", "_label", *columns).limit(max_labelled).toPandas()
     x = {n: sample[n].to_numpy(float) for n in columns}
     return learn(x, sample["_label"].to_numpy() == 0, seed=seed, **how)
