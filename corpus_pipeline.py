@@ -55,7 +55,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("source mixing", mix_sources), ("packing", pack_sequences)]
 
-#: A learned list, components and a linear program are no SQL; tests hold run() against a brute-force version.
+#: A learned list, components and a linear program are no SQL. The stages' operators are tested against brute force;
+#: a brute-force version of the whole is open.
 ORACLE_SQL = None
 
 
