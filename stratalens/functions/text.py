@@ -20,11 +20,10 @@ def first_match(text: Column, patterns: list[tuple[str, int]], default: str = ""
 
 def clean_text(text: Column) -> Column:
     """Breaks and runs of spaces to one space; sentence ends, camel case and digits set apart; odd characters out."""
-    steps = [(r"\n\s*\n+", " "), (r"\n+", " "), (r"([.!?])([A-Z])", "$1 $2"), (r"([.!?])([a-z])", "$1 $2"), (" +", " "), (r"""(?U)[^\w\s.,;:!?\-()"'%$£€]""", ""), (r"([a-z])([A-Z])", "$1 $2"), (r"(?U)(\d)([A-Za-z])", "$1 $2"), (" +", " ")]
     out = _empty(text)
-    for pattern, to in steps:
+    for pattern, to in vocab.CLEANING:
         out = F.regexp_replace(out, pattern, to)
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    return out
 
 
 def strip_tags(html: Column) -> Column:
@@ -189,3 +188,30 @@ def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space and a capital letter; trimmed, no empty ones."""
     parts = F.split(_empty(text), r"(?<=[.!?])\s+(?=[A-Z])")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+
+
+def title_of_match(matched: Column) -> Column:
+    """A header as a title: without its item number, each word capital; Section if nothing is left."""
+    rest = F.trim(F.regexp_replace(_empty(matched), r"(?i)item\s*\d+[a-z]?[.:]?\s*", ""))
+    return F.when(rest == "", F.lit("Section")).otherwise(F.initcap(rest))
+
+
+def content_words(text: Column, stop_words: list[str]) -> Column:
+    """The words of a text that are no stop words, without punctuation, joined by spaces."""
+    words = F.regexp_extract_all(_empty(text), F.lit(r"(?U)[\w']+"), F.lit(0))
+    return F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(stop_words)), " ")
+
+
+def section_kind(title: Column) -> Column:
+    """The kind of section that a title names, as the chunk table has it."""
+    t = _empty(title)
+    kinds = [("item_1a", ("Item 1A", "Risk Factors")), ("item_1", ("Item 1", "Business")), ("item_7", ("Item 7", "MD&A"))]
+    out = F
+    for kind, names in kinds:
+        out = out.when(F.contains(t, F.lit(names[0])) | F.contains(t, F.lit(names[1])), F.lit(kind))
+    return out.otherwise(F.lit("other"))
+
+
+def is_annual(path: Column) -> Column:
+    """Whether a parsed file is of an annual report, by its name."""
+    return F.contains(F.lower(path), F.lit("10k"))

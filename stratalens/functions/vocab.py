@@ -136,3 +136,28 @@ SECTION_WEIGHTS = {"risk_factors": 1.0, "significant_events": 0.95, "business":
 IMPACT_WEIGHTS = {"risk_factors": 1.5, "business": 1.2, "significant_events": 1.0, "other": 0.8}
 RISK_BANDS = [(0.75, "critical"), (0.5, "high"), (0.2, "medium")]
 RECENCY_RATE, TOKENS_BASE, HIGH_RISK_COUNTRIES = 0.001, 1000, ["china", "taiwan", "vietnam", "india", "south korea"]
+
+# How text is cleaned, step by step (pattern, what takes its place). $1 is a group.
+CLEANING = [
+    (r"\n(?:\s*\n+)?", " "),
+    (r"([.!?])([A-Za-z])", "$1 $2"),
+    (r" +", " "),
+    (r"""(?U)[^\w\s.,;:!?\-()"'%$£€]""", ""),
+    (r"(?U)(?<=[a-z])(?=[A-Z])|(?<=\d)(?=[A-Za-z])", " "),
+    (r" +", " "),
+    (r"(?U)^\s+|\s+$", ""),
+]
+
+# Headers of filings in plain text (tags already out), as SECTIONS are in markup.
+PLAIN_SECTIONS = [
+    (r"ITEM\s+1A\.?\s*[:\-]?\s*RISK\s+FACTORS", "item_1a", "Item 1A. Risk Factors"),
+    (r"ITEM\s+1\.?\s*[:\-]?\s*BUSINESS", "item_1", "Item 1. Business"),
+    (r"ITEM\s+7A\.?\s*[:\-]?\s*QUANTITATIVE", "item_7a", "Item 7A. Quantitative and Qualitative Disclosures"),
+    (r"ITEM\s+7\.?\s*[:\-]?\s*MANAGEMENT[^A]", "item_7", "Item 7. Management's Discussion and Analysis"),
+    (r"ITEM\s+8\.?\s*[:\-]?\s*FINANCIAL", "item_8", "Item 8. Financial Statements"),
+    (r"ITEM\s+2\.?\s*[:\-]?\s*PROPERTIES", "item_2", "Item 2. Properties"),
+    (r"ITEM\s+3\.?\s*[:\-]?\s*LEGAL", "item_3", "Item 3. Legal Proceedings"),
+    (r"ITEM\s+4\.?\s*[:\-]?\s*MINE", "item_4", "Item 4. Mine Safety Disclosures"),
+    (r"ITEM\s+5\.?\s*[:\-]?\s*MARKET", "item_5", "Item 5. Market for Registrant's Common Equity"),
+    (r"ITEM\s+6\.?\s*[:\-]?\s*SELECTED", "item_6", "Item 6. Selected Financial Data"),
+]

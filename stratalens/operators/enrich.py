@@ -30,6 +30,16 @@ def kg_line(relations: Column, most: int = 5) -> Column:
     return F.array_join(F.array_compact(F.array(*[part(k) for k in kinds])), "; ")
 
 
+def relations(triples: DataFrame, by: str = "subject", order: str | None = None) -> DataFrame:
+    """(by, relations): a map of each relation to its objects, in the triples' order (else by name). Triples without a
+    relation or an object do not count."""
+    known = triples.where("coalesce(relation, '') != '' AND coalesce(object, '') != ''")
+    place = F.col(order) if order else F.lit(0)
+    lists = known.groupBy(by, "relation").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "object"))).alias("o"))
+    entry = F.struct("relation", F.transform("o", lambda x: x.object))
+    return lists.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("relations"))
+
+
 def section_header(text: Column, c: dict[str, Column]) -> Column:
     """[CONTEXT], a line for each thing known, [CONTENT], the text. c: columns by name; those missing are left out."""
     has = lambda n: c.get(n, F.lit(None).cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import vocab
@@ -39,7 +39,10 @@ def evidence(entities: DataFrame, sections: DataFrame, most: int = 5) -> DataFra
     an entity meets only sections of its own."""
     s = sections.select("ticker", "pos", "title", F.lower("text").alias("_low"))
     hit = entities.select("ticker", "value").distinct().join(s, "ticker").where(F.col("_low").contains(F.lower("value")))
-    return hit.groupBy("ticker", "value").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x.title), 1, most).alias("evidence"))
+    # a rank limit, which Spark applies before the shuffle: no list of all titles is held
+    rank = F.row_number().over(Window.partitionBy("ticker", "value").orderBy("pos", "title"))
+    first = hit.select("ticker", "value", "pos", "title").withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return first.groupBy("ticker", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "title"))), lambda x: x.title).alias("evidence"))
 
 
 def graph(companies: DataFrame, entities: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +55,23 @@ def graph(companies: DataFrame, entities: DataFrame, sections: DataFrame) -> tup
     edges = edges.unionByName(found.select("source", "target", "type", F.array().cast("array<string>").alias("evidence"), "confidence"))
     nodes = companies.select(F.col("ticker").alias("id"), F.lit("Company").alias("label"), F.create_map(F.lit("name"), F.coalesce("company", "ticker")).alias("properties"))
     nodes = nodes.unionByName(e.select(F.col("value").alias("id"), F.when(country, "Country").otherwise("Operation").alias("label"), F.create_map(F.lit("name"), F.col("value")).alias("properties"))).unionByName(found.select(F.col("target").alias("id"), F.lit("Country").alias("label"), F.create_map(F.lit("name"), F.col("target")).alias("properties")))
-    return nodes.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"), F.first("properties").alias("properties")), edges
+    order = F.when(F.col("label") == "Company", 0).when(F.col("label") == "Country", 1).otherwise(2)
+    return merge_nodes(nodes.withColumn("ord", order), "ord"), edges
+
+
+def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """(id, labels, properties) of nodes (id, label, properties, order): the label is that of the first, properties are
+    merged and a later value wins (of equal places the greater one)."""
+    first = nodes.groupBy("id").agg(F.array(F.min_by("label", F.struct(order, "label"))).alias("labels"))
+    each = nodes.select("id", order, F.explode_outer("properties").alias("key", "value")).where("key IS NOT NULL")
+    last = each.groupBy("id", "key").agg(F.max_by("value", F.struct(order, "value")).alias("value"))
+    merged = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    return first.join(merged, "id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+
+
+def created(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(type, created): how many relations of each type have both ends."""
+    return linked(edges, nodes).groupBy("type").agg(F.count("*").alias("created"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -79,15 +98,27 @@ def companies_in_sector(edges: DataFrame, sector: str) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(start, node, hops): nodes within depth undirected steps of start.id, by least hops. One join a step; a step
-    goes on from new nodes only."""
+    """(start, node, hops): nodes within depth undirected steps of start.id, by least hops. One join a step, from the
+    nodes of the step before only; a node that is met again has more hops and falls away in the one aggregation."""
     both = edges.select(F.col("source").alias("_a"), F.col("target").alias("_b")).union(edges.select("target", "source")).distinct()
     front = start.select(F.col("id").alias("start"), F.col("id").alias("node"))
     found = front.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
-        front = front.join(both, F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node")).distinct().join(found, ["start", "node"], "left_anti")
+        front = front.join(both, F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node")).distinct()
         found = found.unionByName(front.withColumn("hops", F.lit(hop)))
-    return found.where("hops > 0")
+    return found.groupBy("start", "node").agg(F.min("hops").alias("hops")).where("hops > 0")
+
+
+def context(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """(start, nodes, relations): what lies within depth steps of start.id, and the relations (source, type, target)
+    on the way there, each once, sorted: those with an end less than depth steps away."""
+    near = reachable(edges, start, depth).unionByName(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")))
+    nodes = near.where("hops > 0").groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    inner = near.where(F.col("hops") < depth).select("start", "node")
+    e = edges.select("source", "type", "target").distinct()
+    met = inner.join(e, F.col("node") == F.col("source")).union(inner.join(e, F.col("node") == F.col("target")))
+    relations = met.groupBy("start").agg(F.array_sort(F.collect_set(F.struct("source", "type", "target"))).alias("relations"))
+    return nodes.join(relations, "start", "full")
 
 
 def _quoted(c: Column) -> Column:

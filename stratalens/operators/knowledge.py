@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import tags, vocab
@@ -30,8 +31,8 @@ def from_sections(sections: DataFrame) -> DataFrame:
 
 
 def from_profiles(profiles: DataFrame) -> DataFrame:
-    """Providers' rows (ticker, rank, company, sector, country, summary): of each ticker that of the best provider."""
-    best = profiles.groupBy("ticker").agg(F.min_by(F.struct("company", "sector", "country", "summary"), "rank").alias("p")).select("ticker", "p.*")
+    """Providers' rows (ticker, rank, company, sector, country, summary): each field from the best provider that has it."""
+    best = best_fields(profiles, ["company", "sector", "country", "summary"])
     regions = F.array_distinct(F.concat(F.when(F.coalesce("country", F.lit("")) != "", F.array(F.when(F.upper("country").isin("US", "USA"), "United States").otherwise(F.col("country")))).otherwise(_none()), tags.labels(F.col("summary"), vocab.PROFILE_REGIONS)))
     return best.select("ticker", "company", "sector", F.array_sort(regions).alias("regions"), tags.labels(F.col("summary"), vocab.PROFILE_OPERATIONS).alias("operations"), tags.labels(F.col("summary"), vocab.PROFILE_RISKS).alias("risk_types"), _none().alias("keywords"), F.array(F.lit("profile")).alias("sources"))
 
@@ -54,3 +55,36 @@ def context(tickers: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Enrichment context of tickers, in upper case; unknown ones get empty lists."""
     t = tickers.select(F.upper("ticker").alias("ticker")).distinct()
     return t.join(knowledge, "ticker", "left").withColumns({c: F.coalesce(c, _none()) for c in LISTS})
+
+
+SCHEMA = "ticker string, company string, sector string, regions array<string>, operations array<string>, risk_types array<string>, keywords array<string>, sources array<string>, metadata map<string,string>"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The knowledge table below path; an empty one if there is none yet."""
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
+def save(knowledge: DataFrame, path: str) -> None:
+    """Written as a whole. Spark refuses to overwrite what it reads, so a table that was loaded goes to a new path."""
+    knowledge.write.mode("overwrite").parquet(path)
+
+
+def refresh(old: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
+    """old with new rows merged in by merge(); metadata of both, where the new value of a key wins."""
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce("metadata", none), lambda k, v: ~F.array_contains(F.map_keys(F.coalesce("_metadata", none)), k))
+    both = old.select("ticker", "metadata").join(new.select("ticker", F.col("metadata").alias("_metadata")), "ticker", "full")
+    data = both.select("ticker", F.map_concat(kept, F.coalesce("_metadata", none)).alias("metadata"))
+    return merge(old.drop("metadata"), new.drop("metadata"), overwrite).join(data, "ticker")
+
+
+def best_fields(profiles: DataFrame, fields: list[str]) -> DataFrame:
+    """(ticker, fields) of providers' rows (ticker, rank, fields): each field from the best provider that has it."""
+    filled = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("rank"))).alias(c) for c in fields]
+    return profiles.groupBy("ticker").agg(*filled)

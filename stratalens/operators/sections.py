@@ -7,13 +7,16 @@ Arrow-batched map; a document that cannot be parsed gives a row with its error a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stratalens import schemas
 from stratalens.functions import text as T
@@ -111,7 +114,22 @@ def header_hits(content: str, filing_type: str) -> list[tuple[int, str, str]]:
     return sorted(hits.values())
 
 
+_CLEANING = [(re.compile(pattern.replace("(?U)", "")), to.replace("$", "\\")) for pattern, to in vocab.CLEANING]
+
+
+def clean(text: str) -> str:
+    """What functions.text.clean_text() does, for text that a document's parser holds."""
+    for pattern, to in _CLEANING:
+        text = pattern.sub(to, text)
+    return text
+
+
+def _made(sid: str, title: str, body: str, tables: list[dict]) -> dict:
+    return {"section_id": sid, "title": title, "text": body, "tables": tables, "word_count": len(body.split()), "char_count": len(body)}
+
+
 def _section(sid: str, title: str, nodes: list[tuple[str, object]], least: int) -> dict | None:
+    """The nodes' text, cleaned, with marks where tables stand, and the tables; None if it is shorter than least."""
     parts, tables, last = [], [], None
     for kind, value in nodes:
         if kind == "text" and value != last:
@@ -121,44 +139,94 @@ def _section(sid: str, title: str, nodes: list[tuple[str, object]], least: int)
             text = "\n".join(" | ".join(r) for r in value)
             tables.append({"rows": value, "row_count": len(value), "column_count": len(value[0]), "text": text})
             parts.append(f"[TABLE {len(tables)}]")
-    body = " ".join(parts)
-    return {"section_id": sid, "title": title, "text": body, "tables": tables, "word_count": len(body.split()), "char_count": len(body)} if len(body) >= least else None
+    body = clean(" ".join(parts))
+    return _made(sid, title, body, tables) if len(body) >= least else None
 
 
-def filing_sections(content: str, filing_type: str) -> list[dict]:
-    """Sections between header positions (50 characters or more); else by headers of parsed nodes (100 or more);
-    else the full document."""
-    hits = header_hits(content, filing_type)
-    ends = [*[h[0] for h in hits[1:]], len(content)][: len(hits)]
-    found = [_section(sid, title, html_nodes(content[at:end]), 50) for (at, sid, title), end in zip(hits, ends, strict=True)]
+def _all_hits(text: str, patterns: list[tuple[str, str, str]]) -> list[tuple[int, str, str]]:
+    """(position, section id, title) of every hit, in order of position; of hits at one place in the patterns' order."""
+    hits = [(m.start(), i) for i, (pattern, _, _) in enumerate(patterns) for m in re.finditer(pattern, text, re.IGNORECASE | re.MULTILINE)]
+    return [(at, *patterns[i][1:]) for at, i in sorted(hits)]
+
+
+def node_sections(nodes: list[tuple[str, object]]) -> list[dict]:
+    """Sections between nodes in which a header begins, 100 characters or more; headers may run on into the next node,
+    and one that comes twice gives two. None: all text as one."""
+    full, starts, last = "", [], None
+    for kind, value in nodes:
+        starts.append(len(full))
+        text = value if kind == "text" else "\n".join(" | ".join(r) for r in value)
+        if text and text != last:
+            full += text + "\n"
+            last = text
+    heads = [(bisect_right(starts, at) - 1, sid, title) for at, sid, title in _all_hits(full, vocab.FALLBACK_SECTIONS)]
+    ends = [*[h[0] for h in heads[1:]], len(nodes)][: len(heads)]
+    found = [_section(sid, title, nodes[a:b], 100) for (a, sid, title), b in zip(heads, ends, strict=True)]
     if found := [s for s in found if s]:
         return found
-    nodes = html_nodes(content)
-    starts = [(i, sid, title) for i, (kind, v) in enumerate(nodes) if kind == "text" for pattern, sid, title in vocab.FALLBACK_SECTIONS if re.search(pattern, v, re.IGNORECASE)]
-    ends = [*[s[0] for s in starts[1:]], len(nodes)][: len(starts)]
-    found = [_section(sid, title, nodes[a:max(b, a + 1)], 100) for (a, sid, title), b in zip(starts, ends, strict=True)]
-    whole = _section("full_document", "Full Document", nodes, 0)
-    return [s for s in found if s] or ([whole] if whole and whole["text"] else [])
+    whole = clean(" ".join(v for kind, v in nodes if kind == "text"))
+    return [_made("full_document", "Full Document", whole, [])] if whole else []
 
 
-def _mapped(df: DataFrame, columns: list[str], keep: list[str], schema: str, parse) -> DataFrame:
-    """Rows of parse(*columns): keep, the schema's columns, and error."""
+def plain_sections(text: str) -> list[dict]:
+    """Sections between all headers of plain text, cleaned, 100 characters or more; none: the whole text."""
+    hits = _all_hits(text, vocab.PLAIN_SECTIONS)
+    ends = [*[h[0] for h in hits[1:]], len(text)][: len(hits)]
+    found = [_made(sid, title, body, []) for (at, sid, title), end in zip(hits, ends, strict=True) if len(body := clean(text[at:end])) >= 100]
+    return found or ([_made("full_document", "Full Document", clean(text), [])] if text.strip() else [])
+
+
+def filing_sections(content: str, filing_type: str) -> list[dict]:
+    """Sections between the positions of the form's headers in the markup (50 characters or more). A document without
+    any goes by its nodes, and one that cannot be parsed by its plain text. A header stays at the start of its text."""
+    hits = header_hits(content, filing_type)
+    if hits:
+        ends = [*[h[0] for h in hits[1:]], len(content)][: len(hits)]
+        found = [_section(sid, title, html_nodes(content[at:end]), 50) for (at, sid, title), end in zip(hits, ends, strict=True)]
+        return [s for s in found if s]
+    try:
+        nodes = html_nodes(content)
+    except Exception:  # markup of any kind may come
+        return plain_sections(clean(re.sub("<[^>]+>", " ", content)))
+    return node_sections(nodes)
+
+
+FLUSH_CHARS = 4 << 20  # of results that a task holds
+
+
+def _mapped(df: DataFrame, columns: list[str], keep: list[str], schema: str, parse: Callable[..., Iterable[dict]]) -> DataFrame:
+    """Rows of parse(*columns): keep, the schema's columns, and error. Batches go out by the size of what they hold."""
     src = df.select(*keep, *[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in columns])
-    types = {f.name: f.dataType.simpleString() for f in src.schema}
-    names = [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ )", schema)] if schema else []
+    made = StructType.fromDDL(schema) if schema else StructType()
+    out_schema = StructType([*src.schema.fields[: len(keep)], *made.fields, StructField("error", StringType())])
+    arrow = to_arrow_schema(StructType([*made.fields, StructField("error", StringType())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.to_dict("records"):
-                base = [row[k] for k in keep]
+            sources = [b.column(len(keep) + i) for i in range(len(columns))]
+            rows: list[int] = []
+            out: list[dict] = []
+            held = 0
+
+            def batch() -> pa.RecordBatch:
+                taken = b.take(pa.array(rows, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*taken.columns[: len(keep)], *[pa.array([r.get(f.name) for r in out], f.type) for f in arrow]], out_schema.names)  # noqa: B023
+
+            for i in range(len(b)):
+                values = [c[i].as_py() for c in sources]
                 try:
-                    out += [[*base, *[r.get(n) for n in names], None] for r in parse(*[row[f"_{c}"] for c in columns])]
+                    found = list(parse(*values))
                 except Exception as e:  # a document of any shape may come; it is reported in its row
-                    out.append([*base, *[None] * len(names), f"{type(e).__name__}: {e}"])
-            yield pd.DataFrame(out, columns=[*keep, *names, "error"])
+                    found = [{"error": f"{type(e).__name__}: {e}"}]
+                rows += [i] * len(found)
+                out += found
+                held += sum(map(len, values))
+                if held > FLUSH_CHARS:
+                    yield batch()
+                    rows, out, held = [], [], 0
+            yield batch()
 
-    return src.mapInPandas(run, ", ".join([*[f"{k} {types[k]}" for k in keep], schema, "error string"]))
+    return src.mapInArrow(run, out_schema)
 
 
 def sections(df: DataFrame, keep: list[str], content: str = "content", filing_type: str = "filing_type") -> DataFrame:
@@ -171,14 +239,10 @@ def sections(df: DataFrame, keep: list[str], content: str = "content", filing_ty
     return _mapped(df, [content, filing_type], keep, f"pos int, section {schemas.SECTION}", parse)
 
 
-def regex_sections(df: DataFrame, key: list[str], html: str = "content", least: int = 100) -> DataFrame:
-    """The plain-text way, in Column expressions: headers of tag-stripped text, first hit of each id, bodies up to the
-    next header; key, section_id, title, pos, text."""
-    plain = df.select(*key, T.strip_tags(F.col(html)).alias("_t"))
-    hits = F.array_compact(F.array(*[F.when(F.regexp_instr("_t", F.lit(f"(?i){p}")) > 0, F.struct(F.regexp_instr("_t", F.lit(f"(?i){p}")).alias("pos"), F.lit(sid).alias("section_id"), F.lit(title).alias("title"))) for p, sid, title in vocab.FALLBACK_SECTIONS]))
-    rows = plain.select(*key, "_t", F.explode(F.array_sort(hits)).alias("h")).select(*key, "_t", "h.*")
-    end = F.lead("pos").over(Window.partitionBy(*key).orderBy("pos", "section_id"))
-    return rows.withColumn("text", F.substring(F.col("_t"), F.col("pos"), F.coalesce(end, F.length("_t") + 1) - F.col("pos"))).where(F.length("text") >= least).drop("_t")
+def regex_sections(df: DataFrame, keep: list[str], html: str = "content") -> DataFrame:
+    """The plain-text way: keep, pos, section, error of tag-stripped text, one row a section."""
+    plain = df.select(*keep, T.strip_tags(F.col(html)).alias("_plain"))
+    return _mapped(plain, ["_plain"], keep, f"pos int, section {schemas.SECTION}", lambda text: [{"pos": i, "section": s} for i, s in enumerate(plain_sections(text))])
 
 
 def filings(files: DataFrame) -> DataFrame:
@@ -204,7 +268,7 @@ class _Law(HTMLParser):
         if tag in SKIP:
             self.skip += 1
         elif tag in ("section", "article", "div"):
-            element = {"text": [], "title": None}
+            element = {"from": len(self.body), "to": None, "title": None}
             self.found.append(element)
             self.open.append(element)
         elif tag in ("h1", "h2", "h3", "h4", "strong", "b"):
@@ -214,7 +278,7 @@ class _Law(HTMLParser):
         if tag in SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag in ("section", "article", "div") and self.open:
-            self.open.pop()
+            self.open.pop()["to"] = len(self.body)
         elif tag in ("h1", "h2", "h3", "h4", "strong", "b") and self.heading is not None:
             title = " ".join("".join(self.heading).split())[:100]
             for element in self.open:
@@ -225,8 +289,6 @@ class _Law(HTMLParser):
         if self.skip:
             return
         self.body.append(data)
-        for element in self.open:
-            element["text"].append(data)
         if self.heading is not None:
             self.heading.append(data)
 
@@ -239,7 +301,7 @@ def law_sections(html: str, most: int = 10) -> list[dict]:
     parser.close()
     out = []
     for i, element in enumerate(parser.found[:20]):
-        text = "".join(element["text"]).strip()
+        text = "".join(parser.body[element["from"] : element["to"]]).strip()
         if len(text) > 200:
             out.append({"section_id": f"section_{i}", "title": element["title"] or f"Section {i + 1}", "text": text[:5000], "word_count": len(text.split())})
     body = "".join(parser.body).strip()

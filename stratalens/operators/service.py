@@ -16,7 +16,7 @@ def companies(chunks: DataFrame) -> DataFrame:
 def company_filings(chunks: DataFrame, ticker: str) -> DataFrame:
     """Filings of a company with the number of their chunks, latest first."""
     own = chunks.where(F.col("ticker") == ticker)
-    return own.groupBy("filing_type", "filing_date").agg(F.count("*").alias("chunks"), F.first("company_name").alias("company_name")).orderBy(F.desc("filing_date"), "filing_type")
+    return own.groupBy("filing_type", "filing_date").agg(F.count("*").alias("chunks"), F.min("company_name").alias("company_name")).orderBy(F.desc("filing_date"), "filing_type")
 
 
 def relevant_chunks(chunks: DataFrame, first: int = 20) -> DataFrame:
@@ -47,8 +47,8 @@ def analyze(chunks: DataFrame, company_data: DataFrame, text: str, as_of: str, p
 
 
 def recommendation_context(scores: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """Scores with the nodes around each company in the graph."""
-    near = graph.reachable(edges, scores.select(F.col("ticker").alias("id")), depth).groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("neighbours"))
+    """Scores (of the companies asked for) with the nodes and relations around each company in the graph."""
+    near = graph.context(edges, scores.select(F.col("ticker").alias("id")), depth).withColumnRenamed("nodes", "neighbours")
     return scores.join(near, F.col("ticker") == F.col("start"), "left").drop("start")
 
 

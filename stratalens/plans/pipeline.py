@@ -49,19 +49,45 @@ def vector_chunks(merged: DataFrame, size: int = 3, embed=models.embed) -> DataF
     return chunks.sentence_chunks(merged, keep, size=size).withColumn("embedding", embed(F.col("chunk_text")))
 
 
+def can_run(spark: SparkSession, config: Config) -> dict[str, bool]:
+    """Which stages have what they need: a source that can be listed, and before embeddings an output to write to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(config.source)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return {"parse": there, "aggregate": there, "embeddings": there and bool(config.output) and not config.skip_embeddings}
+
+
 def run(spark: SparkSession, config: Config) -> dict[str, str]:
-    """What was done: status by stage. A dry run plans only."""
+    """What was done: success, planned, skipped or failed (with the reason), by stage. A stage that fails does not end
+    the run; stages that need what it should have written are skipped. A dry run plans only."""
+    stages = {"parse": "legislation", "aggregate": "companies", "embeddings": "chunks"}
+    ready = can_run(spark, config)
+    if not ready["parse"]:
+        return dict.fromkeys(stages, "skipped")
     filings, laws = parsed(readers.files(spark, config.source))
     merged = company_sections(filings)
     if config.dry_run:
-        return {"parse": "planned", "aggregate": "planned", "embeddings": "planned"}
-    laws.write.mode("overwrite").parquet(f"{config.output}/legislation")
-    sinks.companies(merged, f"{config.output}/companies")
-    if config.skip_embeddings:
-        return {"parse": "success", "aggregate": "success", "embeddings": "skipped"}
-    stored = spark.read.parquet(f"{config.output}/companies")
-    sinks.companies(vector_chunks(stored, config.sentences_per_chunk), f"{config.output}/chunks")
-    return {"parse": "success", "aggregate": "success", "embeddings": "success"}
+        return dict.fromkeys(stages, "planned")
+
+    def embeddings() -> None:
+        stored = spark.read.parquet(f"{config.output}/companies")
+        sinks.companies(vector_chunks(stored, config.sentences_per_chunk), f"{config.output}/chunks")
+
+    work = {
+        "parse": lambda: laws.write.mode("overwrite").parquet(f"{config.output}/legislation"),
+        "aggregate": lambda: sinks.companies(merged, f"{config.output}/companies"),
+        "embeddings": embeddings,
+    }
+    done: dict[str, str] = {}
+    for stage, job in work.items():
+        if not ready[stage] or stage == "embeddings" and done["aggregate"] != "success":
+            done[stage] = "skipped"
+            continue
+        try:
+            job()
+            done[stage] = "success"
+        except Exception as e:  # whatever a stage meets is its status
+            done[stage] = f"failed: {type(e).__name__}"
+    return done
 
 
 def inspect(merged: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from stratalens.operators import enrich as E
 from stratalens.operators import graph as G
 from stratalens.operators import knowledge as K
 from stratalens.operators import search, sections
+from stratalens.plans import more
 from stratalens.plans import views as V
 from stratalens.sources import sinks
 from stratalens.streaming import streams
@@ -39,11 +40,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | more.oracle_sql()
 
 
 def _r(c, n: int = 6):
@@ -238,13 +239,6 @@ def tag_union(spark, sf_dir):
     return d.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("v")), "|").alias("labels"))
 
 
-@query(None)
-def filing_entities(spark, sf_dir):
-    """Countries, operations and risk types of filings by the real vocabularies."""
-    s = V.filings(spark, sf_dir).select("ticker", "text", F.lit("Risk Factors").alias("title"))
-    return A.entities(s)
-
-
 # text -------------------------------------------------------------------------------------------------------------------
 
 _CLEAN = "regexp_replace(COLUMN, '\\n\\s*\\n+', ' ', 'g')"
@@ -315,11 +309,6 @@ def documents_by_language(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def detect_language(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("language"))
-
-
 # chunks -----------------------------------------------------------------------------------------------------------------
 
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
@@ -338,11 +327,6 @@ def sentence_chunks(spark, sf_dir):
     return c.select("doc_id", *[F.col(x).cast("bigint").alias(x) for x in ("chunk_index", "total_chunks", "sentences_in_chunk")], F.md5("chunk_text").alias("digest"))
 
 
-@query(None)
-def word_pack_chunks(spark, sf_dir):
-    return C.split_chunks(V.table(spark, sf_dir, "documents"), ["doc_id"], size=400, unit="words")
-
-
 @query(None)
 def recursive_chunks(spark, sf_dir):
     return C.split_chunks(V.table(spark, sf_dir, "documents"), ["doc_id"], size=400, overlap=50)
@@ -362,13 +346,6 @@ def enrich_header(spark, sf_dir):
     return f.select("doc_id", F.md5(E.section_header(F.col("text"), c)).alias("digest"))
 
 
-@query(None)
-def enrich_filing_chunks(spark, sf_dir):
-    f = V.filings(spark, sf_dir).select("doc_id", "ticker", F.col("section_type").alias("section_title"), "text")
-    k = f.select("ticker").distinct().select("ticker", F.col("ticker").alias("company"), F.lit("Technology").alias("sector"), F.array(F.lit("EU")).alias("regions"), F.array().cast("array<string>").alias("operations"), F.array().cast("array<string>").alias("risk_types"))
-    return E.filing_chunks(f, k).select("doc_id", F.md5("enriched_text").alias("digest"))
-
-
 # graph ------------------------------------------------------------------------------------------------------------------
 
 
@@ -379,11 +356,6 @@ def kg_triples_dedup(spark, sf_dir):
     return G.triples(e, none)
 
 
-@query(None)
-def kg_edges_pattern(spark, sf_dir):
-    return G.pattern_edges(V.filings(spark, sf_dir))
-
-
 @query("""WITH h AS (SELECT source AS ticker, doc_id, 'd' || doc_id AS title, lower(text) AS low FROM documents), v AS (SELECT ticker, w AS value, doc_id, title FROM h, (VALUES ('worthless'), ('pathetic')) t(w) WHERE contains(low, w)), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, value ORDER BY doc_id) AS rn FROM v)
 SELECT ticker, value, string_agg(title, '|' ORDER BY doc_id) AS evidence FROM r WHERE rn <= 5 GROUP BY ticker, value""")
 def kg_evidence(spark, sf_dir):
@@ -420,12 +392,6 @@ def upsert_merge(spark, sf_dir):
     return G.upsert(c, s, ["id"])
 
 
-@query("SELECT 0 AS ord, 'CREATE (n:Region {id: ''' || r_name || ''', name: ''' || r_name || '''})' AS statement FROM region")
-def graph_cypher(spark, sf_dir):
-    n = V.table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), F.array(F.lit("Region")).alias("labels"), F.create_map(F.lit("name"), F.col("r_name")).alias("properties"))
-    return G.cypher(n, spark.createDataFrame([], "source string, target string, type string"))
-
-
 @query("SELECT p_brand AS supplier_of, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_extendedprice * (1 - l_discount)), 2) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def supply_edges(spark, sf_dir):
     lines, part = V.table(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "part")
@@ -463,11 +429,6 @@ def knowledge_merge(spark, sf_dir):
     return K.merge(k, k.withColumn("regions", F.array(F.lit("NEW"))).withColumn("sector", F.lit("LATER"))).select("ticker", F.array_join("regions", "|").alias("regions"), "sector")
 
 
-@query(None)
-def knowledge_from_filings(spark, sf_dir):
-    return K.from_sections(V.filings(spark, sf_dir)).select("ticker", F.array_join("regions", "|").alias("regions"), F.array_join("operations", "|").alias("operations"), F.array_join("risk_types", "|").alias("risk_types"), F.size("sources").alias("n_sources"))
-
-
 @query("SELECT c_name AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def checkpoint_anti(spark, sf_dir):
     """Companies without a processed entry."""

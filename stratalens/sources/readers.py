@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
@@ -65,11 +65,20 @@ def raw_filings(paths: DataFrame) -> DataFrame:
     return paths.where(good).select(ticker.alias("ticker"), "path").orderBy("ticker", F.desc("path"))
 
 
+def _substrings(text: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def parsed_filings(paths: DataFrame, wanted: DataFrame) -> DataFrame:
     """Parsed filings of tickers: files below parsed/ whose stem holds the ticker, else those in parsed/filings/<ticker>/."""
     name = T.base_name(F.col("path"))
     flat = paths.where(F.col("path").rlike(r"(^|/)parsed/[^/]+\.json$")).withColumn("_n", name)
-    found = flat.join(wanted, F.contains(F.col("_n"), F.col("ticker"))).select("ticker", "path")
+    # every substring that could be a ticker meets tickers by equality: names are short, tickers have few letters
+    lengths = [r["n"] for r in wanted.select(F.length("ticker").alias("n")).distinct().collect()]
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_substrings(F.col("_n"), n) for n in lengths]))
+    found = flat.select("path", F.explode(pieces).alias("ticker")).join(wanted, "ticker", "left_semi").select("ticker", "path")
     nested = paths.withColumn("ticker", F.regexp_extract("path", r"parsed/filings/([^/]+)/", 1)).where("ticker != ''").join(wanted, "ticker", "left_semi").select("ticker", "path")
     return found.unionByName(nested.join(found.select("ticker").distinct(), "ticker", "left_anti"))
 
@@ -90,3 +99,19 @@ def markets(df: DataFrame, tags: list[str] = (), active: bool | None = None, mos
     out = df.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]))) if tags else df
     out = out if active is None else out.where(F.col("active") == active)
     return out.orderBy("slug").limit(most) if most else out
+
+
+def at_most(df: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows in a stated order, or all: what max_files and max_tickers ask for."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def listed_tickers(spark: SparkSession, text: str, most: int | None = None) -> DataFrame:
+    """Tickers of a comma-separated list, in its order; blanks and repeats go."""
+    given = list(dict.fromkeys(t.strip().upper() for t in text.split(",") if t.strip()))
+    return spark.createDataFrame([(t,) for t in (given[:most] if most else given)], "ticker string")
+
+
+def downloads(paths: DataFrame) -> DataFrame:
+    """(filing_type, files) of downloaded filings, by their names."""
+    return paths.groupBy(T.filing_type_of(F.col("path")).alias("filing_type")).agg(F.count("*").alias("files"))

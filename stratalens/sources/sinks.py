@@ -15,7 +15,8 @@ def documents(df: DataFrame, path: str) -> None:
 
 def companies(df: DataFrame, path: str) -> None:
     """By ticker; only the tickers at hand are overwritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+    dealt = df.repartition("ticker")  # a file a ticker, not one a ticker and task; adaptive execution splits large ones
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
 
 
 def chunk_rows(df: DataFrame) -> DataFrame:
@@ -70,3 +71,14 @@ def open_tickers(wanted: DataFrame, status: DataFrame) -> DataFrame:
 
 def counters(status: Column) -> list[Column]:
     return [F.count("*").alias("total"), *[F.count_if(status == s).alias(s) for s in ("successful", "failed", "skipped")]]
+
+
+def results(df: DataFrame, path: str) -> None:
+    """Results of a run (of a batch, a search, scores) as JSON lines, one file: they are as many as what was asked for."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def summary(status: DataFrame) -> DataFrame:
+    """One row of a run's statuses (ticker, status): counts, and the share that was successful in percent."""
+    row = status.agg(*counters(F.col("status")))
+    return row.withColumn("success_rate", F.when(F.col("total") > 0, F.round(F.col("successful") * 100 / F.col("total"), 1)).otherwise(0.0))
