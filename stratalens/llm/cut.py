@@ -1,4 +1,4 @@
-"""Lineage cuts: intermediate tables written to the folder that all executors share."""
+"""Lineage cuts: intermediate tables written to the folder that all executors share; and what operators agree on."""
 
 from __future__ import annotations
 
@@ -6,13 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one for a local session, and an error
+    for any other: executors on other machines would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        # only a session without the setting comes here: a local test, whose driver and executors are one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -26,12 +30,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hidden(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
@@ -39,3 +44,29 @@ def hidden(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     names of those wanted. toDF(*df.columns) names them back."""
     names = [f"c{i}_" for i in range(len(df.columns))]
     return df.toDF(*names), [names[df.columns.index(w)] for w in wanted]
+
+
+def integer(df: DataFrame, key: str) -> None:
+    """Keys are integers: any other type is an error at once, not a cast that loses rows when the job runs."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"the key {key} must be of an integer type, not {kind.simpleString()}")
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """The rows of df that have a key, which must be an integer. Rows without one name no document: the operators that
+    call this give no row for them."""
+    integer(df, key)
+    return df.where(F.col(key).isNotNull())
+
+
+def join_one(rows: DataFrame, table: DataFrame, on: str, most: int = 1000) -> DataFrame:
+    """rows joined with table, which has one row for each key `on` and says in _n how many of rows have it.
+
+    A key with more than 1 / most of all rows would hold up the task that it is dealt to, so such keys go by a
+    broadcast, at most `most` of them whatever the input; the others by an ordinary join.
+    """
+    total = table.agg(F.sum("_n")).first()[0] or 0
+    hot = table.where(F.col("_n") * most > total)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(table.where(F.col("_n") * most <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest).drop("_n")

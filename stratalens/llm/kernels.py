@@ -6,7 +6,8 @@ character, so byte positions and characters agree on where words start and end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ _LOWER[0x41:0x5B] += 0x20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PRIME, _PRIME_BASE = np.uint64((1 << 31) - 1), 1_103_515_247
+LONG = 512  # bytes of a span from which on its hash has a second part
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -92,29 +95,94 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     newline = np.flatnonzero(data == 0x0A)
     starts = np.union1d(newline + 1, offsets[:-1])
     starts = starts[starts < len(data)]
+    if not len(starts):
+        return starts, starts, np.zeros(len(offsets), np.int64)
     row_ends = offsets[np.searchsorted(offsets, starts, "right")]
     ends = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, starts)], row_ends)
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(~_SPACE[data], out=total[1:])
-    wordy = total[ends] > total[starts]
+    # the newline that a line ends with, and bytes between rows, are white space or belong to no other line
+    wordy = np.logical_or.reduceat(~_SPACE[data], starts)
     starts, ends = starts[wordy], ends[wordy]
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return np.where(data - np.uint8(0x41) < 26, data + np.uint8(0x20), data)
+
+
+def _modular(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    for _ in range(2):
+        x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo the prime, at least n of them."""
+    table = _POWERS.get(f"prime {base}")
+    if table is None or len(table) < n:
+        table = np.ones(1, np.uint64)
+        while len(table) < n:
+            table = np.concatenate([table, _modular(table * np.uint64(pow(base, len(table), int(_PRIME))))])
+        if n <= 4 * SLICE_BYTES:
+            _POWERS[f"prime {base}"] = table
+    return table
+
+
+def _prime_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials modulo the prime over spans of values under 2**9."""
+    n = len(values)
+    up, down = _prime_powers(_PRIME_BASE, n + 1), _prime_powers(pow(_PRIME_BASE, -1, int(_PRIME)), n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    for at in range(0, n, 1 << 22):  # sums stay under 2**64
+        end = min(n, at + (1 << 22))
+        total[at + 1 : end + 1] = _modular(np.cumsum(values[at:end] * up[at:end]) + total[at])
+    return _modular(_modular(total[ends] + _PRIME - total[starts]) * down[starts])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans: equal spans, equal hashes."""
+    """64-bit hashes of byte spans: equal spans, equal hashes. They find candidates; what must not be wrong is decided
+    by digests() or by the bytes.
+
+    A polynomial modulo 2**64 has pairs of long texts that collide for every base (of the Thue-Morse pattern, from
+    some 1000 bytes on), so spans of LONG bytes or more take in a polynomial modulo a prime, too.
+    """
     n = len(data)
     values = (_LOWER[data] if lower else data).astype(np.uint64)
     values += np.uint64(1)
+    long = np.flatnonzero(ends - starts >= LONG)
+    if len(long):
+        first, last = starts[long].min(), ends[long].max()
+        more = _prime_hashes(values[first:last], starts[long] - first, ends[long] - first)
     values *= _powers("up", _BASE, n + 1)[:n]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=total[1:])
     h = total[ends] - total[starts]
     h *= _powers("down", _INVERSE, n + 1)[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if len(long):
+        h[long] += mix(more)
     return mix(h)
 
 
+def digests(raw: bytes, starts: Sequence[int], ends: Sequence[int]) -> np.ndarray:
+    """128-bit digests of byte spans, as two rows of 64-bit numbers: what tells texts apart."""
+    out = b"".join([blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts, ends, strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2).T
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """digests() of each row's words, A-Z lower-cased and parted by one space: equal for equal sequences of words only."""
+    starts, _, rows = words(data, offsets)
+    text, take = _LOWER[data], ~_SPACE[data]
+    gaps = np.delete(starts, rows[:-1][np.diff(rows) > 0]) - 1
+    text[gaps], take[gaps] = 0x20, True
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(take, out=at[1:])
+    at = at[offsets]
+    return digests(text[take].tobytes(), at[:-1].tolist(), at[1:].tolist())
+
+
 def windows(hashes: np.ndarray, row_offsets: np.ndarray, size: int, whole_if_short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of size items within a row, and the row offsets among them.
 

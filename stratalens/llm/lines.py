@@ -4,13 +4,13 @@ A line is what \\n separates and that has a word; its set is its distinct shingl
 lower-cased (a shorter line is one shingle). MinHash signatures over that set are banded: with 14 bands of 4 values,
 a pair of similarity 0.8 shares a band with odds of 0.9994, one of 0.9 with odds of 0.9999999. Lines of a band's
 bucket are candidates; they are confirmed by the exact Jaccard similarity of full sets, and united in components as
-near-duplicate documents are. Lines with equal bytes are one line from the start, so a line that millions of documents
-have is one member of each bucket.
+near-duplicate documents are. Lines with equal bytes, by a 128-bit digest, are one line from the start, so a line that
+millions of documents have is one member of each bucket; the digest's first half names it among candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +18,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm import kernels
-from stratalens.llm.cut import cut, hidden
+from stratalens.llm.cut import cut, discard, hidden, join_one, keyed
 from stratalens.llm.neardup import shared_lists, unite
 
 CHARS, BANDS, ROWS = 8, 14, 4
+_FACTOR = np.uint64(0x9DDFEA08EB382D69)
+MOST_SEEN = 1_000_000  # lines that a task remembers to have sent
 
 
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of each line, and the lines' offsets among them."""
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    first, last = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-    runs = np.maximum(last - first - chars + 1, 1)
+    data = kernels.lower(data)
+    raw = data.tobytes()
+    first, last, letters = starts, ends, None
+    if not raw.isascii():
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        letters = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(letters) == len(heads):
+            first, last = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
+        else:  # not UTF-8: bytes count as characters
+            letters = None
+    padded = np.zeros(len(data if letters is None else letters) + chars + 1, np.uint32)
+    padded[: -chars - 1] = data if letters is None else letters
+    size = last - first
+    runs = np.maximum(size - chars + 1, 1)
     at = np.concatenate([[0], np.cumsum(runs)])
-    place = np.arange(at[-1]) - np.repeat(at[:-1] - first, runs)
-    bounds = np.append(heads, len(data))
-    stop = np.minimum(place + chars, np.repeat(last, runs))
-    return kernels.span_hashes(data, bounds[place], bounds[stop], lower=True), at
+    # two characters at a time, at every place; then the places that are shingles of a line
+    pairs = np.ndarray((len(padded) - 1,), np.uint64, padded, strides=(4,))
+    n = len(padded) - chars
+
+    def hashed(part: Callable[[int], np.ndarray], one: Callable[[int], np.ndarray]) -> np.ndarray:
+        h = np.full(1, chars, np.uint64)
+        for i in range(0, chars, 2):
+            h = h * _FACTOR + (part(i) if i + 1 < chars else one(i))
+        return kernels.mix(h)
+
+    out = hashed(lambda i: pairs[i : i + n], lambda i: padded[i : i + n])[np.arange(at[-1]) + np.repeat(first - at[:-1], runs)]
+    short = np.flatnonzero(size < chars)
+    if len(short):
+        letter = lambda i: np.where(i < size[short], padded[first[short] + i], 0).astype(np.uint64)
+        out[at[short]] = hashed(lambda i: letter(i) | letter(i + 1) << np.uint64(32), letter) ^ np.uint64(1)
+    return out, at
 
 
 def _signatures(shingles: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
@@ -46,56 +71,68 @@ def _signatures(shingles: np.ndarray, at: np.ndarray, values: int) -> np.ndarray
     return out
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's bytes; start, end and digest of its lines; and the rows' offsets among the lines."""
+    starts, ends, rows = kernels.lines(data, offsets)
+    raw = data.tobytes()
+    return raw, starts, ends, kernels.digests(raw, starts.tolist(), ends.tolist()), rows
+
+
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, line, _line): every line with a word, by number (0 first), and a 64-bit hash of its bytes."""
+    """(_key, line, _line, _rest): every line with a word, by number (0 first), and the halves of its bytes' digest."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for x, y, data, offsets in kernels.text_slices(b.column(1)):
-                starts, ends, rows = kernels.lines(data, offsets)
+                _, starts, _, digests, rows = _digests(data, offsets)
                 n = np.diff(rows)
                 number = np.arange(len(starts)) - np.repeat(rows[:-1], n)
-                hashes = kernels.span_hashes(data, starts, ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[x:y], n).astype(np.int64)), pa.array(number.astype(np.int64)), pa.array(hashes.view(np.int64))], ["_key", "line", "_line"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[x:y], n)), pa.array(number), *map(pa.array, digests)], ["_key", "line", "_line", "_rest"])
 
-    return df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(find, "_key bigint, line bigint, _line bigint")
+    rows = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(find, "_key bigint, line bigint, _line bigint, _rest bigint")
 
 
 def buckets(df: DataFrame, text: str, chars: int, bands: int, rows: int) -> DataFrame:
-    """(run, _key, pivot): lines (by hash) of the buckets that several lines share."""
+    """(run, _key): lines (by the first half of their digest) of the buckets that several lines share."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # spares a line that comes again to this task; sent again, it would do no harm
         for b in batches:
-            for _, _, data, offsets in kernels.text_slices(b.column(0)):
-                starts, ends, _ = kernels.lines(data, offsets)
-                hashes, once = np.unique(kernels.span_hashes(data, starts, ends), return_index=True)
+            for _, _, data, offsets in kernels.text_slices(b.column(0), 64 << 10):
+                _, starts, ends, digests, _ = _digests(data, offsets)
+                names, once = np.unique(digests[0], return_index=True)
+                new = np.array([n not in seen for n in names.tolist()], bool)
+                names, once = names[new], once[new]
                 if not len(once):
                     continue
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                seen.update(names.tolist())
                 shingles, at = _shingles(data, starts[once], ends[once], chars)
                 signature = _signatures(shingles, at, bands * rows)
                 value = np.repeat(np.arange(1, bands + 1, dtype=np.uint64), len(once)).reshape(bands, -1)
                 for r in range(rows):
                     value *= np.uint64(0x9DDFEA08EB382D69)
                     value += signature[r::rows]
-                yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(value.ravel()).view(np.int64)), pa.array(np.tile(hashes, bands).view(np.int64))], ["run", "_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(kernels.mix(value.ravel()).view(np.int64)), pa.array(np.tile(names, bands))], ["run", "_key"])
 
     found = df.select(F.col(text).alias("_text")).mapInArrow(band, "run bigint, _key bigint")
-    return shared_lists(found, marked=False)
+    return shared_lists(found)
 
 
 def line_texts(df: DataFrame, text: str) -> DataFrame:
-    """(_key, _text): the lines with a word, by hash, once a batch slice."""
+    """(_key, _rest, _text): the lines with a word, by the halves of their digests, once a batch slice."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in kernels.text_slices(b.column(0)):
-                starts, ends, _ = kernels.lines(data, offsets)
-                hashes, once = np.unique(kernels.span_hashes(data, starts, ends), return_index=True)
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([raw[s:e] for s, e in zip(starts[once], ends[once], strict=True)], pa.binary())], ["_key", "_text"])
+                raw, starts, ends, digests, _ = _digests(data, offsets)
+                _, once = np.unique(digests[0], return_index=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(d[once]) for d in digests], pa.array([raw[s:e] for s, e in zip(starts[once].tolist(), ends[once].tolist(), strict=True)], pa.binary())], ["_key", "_rest", "_text"])
 
-    return df.select(F.col(text).alias("_text")).mapInArrow(find, "_key bigint, _text binary")
+    return df.select(F.col(text).alias("_text")).mapInArrow(find, "_key bigint, _rest bigint, _text binary")
 
 
 def _char_sets(chars: int) -> tuple:
@@ -105,7 +142,7 @@ def _char_sets(chars: int) -> tuple:
             yield np.unique(shingles[at[i] : at[i + 1]])
 
     def members(raw: bytes) -> set:
-        line = raw.lower().decode()
+        line = raw.lower().decode("utf-8", "surrogateescape")
         return {line[i : i + chars] for i in range(max(1, len(line) - chars + 1))}
 
     return hashed, members
@@ -116,17 +153,26 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: int =
     component, and whether it is that line.
 
     Lines are numbered from 0 among a text's lines with a word. Null and empty texts, and texts of blank lines, have
-    none. Rows that repeat repeat their lines: all the copies of the first stay. Other columns are not read.
+    none; rows without a key give none, and a key must be an integer. Rows that repeat repeat their lines: all the
+    copies of the first stay; rows that share a key but not a text are numbered each on its own. Other columns are not
+    read. An empty table: no rows.
     """
-    linked = cut(buckets(df, text, chars, bands, rows), "line-buckets")
+    docs = keyed(df, key)
+    linked = cut(buckets(docs, text, chars, bands, rows), "line-buckets")
     involved = linked.select("_key").distinct()
-    texts = cut(line_texts(df, text).join(involved, "_key").groupBy("_key").agg(F.first("_text").alias("_text")), "line-texts")
+    # of lines that share half a digest, which no two are known to do, the least by the other half is looked at
+    texts = line_texts(docs, text).join(involved, "_key").groupBy("_key").agg(F.min_by("_text", "_rest").alias("_text"), F.min("_rest").alias("_rest"))
+    texts = cut(texts, "line-texts")
     # lines are short: their full sets cost less than sketches would
-    parts = unite(linked, texts, _char_sets(chars), num, den, sketch=False, bits=512)
-    every = occurrences(df, key, text).join(parts.withColumnRenamed("node", "_line"), "_line", "left").select("_key", "line", F.coalesce("component", "_line").alias("_part"))
+    parts = unite(linked, texts.select("_key", "_text"), _char_sets(chars), num, den, sketch=False)
+    parts = cut(parts.join(texts.select("_key", "_rest"), parts["node"] == texts["_key"]).select(F.col("node").alias("_line"), "_rest", "component"), "line-components")
+    discard(linked, texts)
+    # a part is (component, 0), or a line of its own by its whole digest
+    every = occurrences(docs, key, text).join(parts, ["_line", "_rest"], "left")
+    every = every.select("_key", "line", F.struct(F.coalesce("component", "_line").alias("a"), F.when(F.col("component").isNull(), F.col("_rest").bitwiseOR(F.lit(1))).otherwise(0).alias("b")).alias("_part"))
     every = cut(every, "line-parts")
-    first = every.groupBy("_part").agg(F.min(F.struct("_key", "line")).alias("_first"))
-    out = every.join(first, "_part")
+    first = cut(every.groupBy("_part").agg(F.min(F.struct("_key", "line")).alias("_first"), F.count("*").alias("_n")), "line-firsts")
+    out = join_one(every, first, "_part")
     return out.select(F.col("_key").alias(key), "line", F.col("_first._key").alias("kept_key"), F.col("_first.line").alias("kept_line"), F.expr("_key = _first._key AND line = _first.line").alias("kept"))
 
 

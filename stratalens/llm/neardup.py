@@ -7,10 +7,11 @@ u - d values in at most d + 1 runs, so a pair over the threshold always shares a
 length among random retained values is broken, which has odds of at most MISS right at the threshold and fewer above
 it. Runs keep a passage that thousands of documents share from pairing them all, which single values would.
 
-Lists of the same run are handled without emitting their pairs: equal sets are one class; each class is first
-paired with one member of its list only, the one whose runs the most others share (of edited copies, the original); links confirmed so are united, and only lists that still hold several
-components pair members of different ones, of sizes that fit and with one-bit minima that do not put them SPREAD
-standard errors under the threshold. What no pair is made for is in one component already.
+Documents with equal sequences of words (by a 128-bit digest) are one class from the start; only its least key goes on.
+Lists are looked at without emitting their pairs (see unite): each class is first compared with one member of its
+list, the one whose runs the most others share (of edited copies, the original). An exact bound from what each member
+has changed of that one's set says which further pairs can reach the threshold, so that a group of thousands of edited
+copies makes pairs only for members that its original does not settle, and only with copies that share edits.
 
 Candidates whose union sketch estimates a similarity far below the threshold are dropped; the rest is confirmed on
 full sets of word tuples.
@@ -24,15 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm import kernels
 from stratalens.llm.components import components
-from stratalens.llm.cut import cut, discard
+from stratalens.llm.cut import cut, discard, join_one, keyed
 
 K, GROUP, MISS = 64, 256, 2e-5
-BITS, SPREAD = 1024, 4.5  # one-bit minima, and the standard errors under the threshold that they may put a pair
+BITS = 2048  # of the maps that say which tokens an edited copy has gained or lost
 
 
 @lru_cache
@@ -78,93 +79,58 @@ def _runs(s: np.ndarray, lengths: Sequence[int]) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n, set_a, set_b): the size of each document's set and 128 bits that stand for the set."""
+def prints(df: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
+    """(_key, n, set_a, set_b, runs): the size of each document's set, 128 bits that stand for its sequence of words,
+    and its runs of retained values."""
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths: dict[int, list[int]] = {0: []}
         for b in batches:
-            out = np.zeros((3, len(b)), np.uint64)
-            for x, _, data, offsets in kernels.text_slices(b.column(1)):
-                for i, s in enumerate(_sets(data, offsets, words)):
-                    out[:, x + i] = len(s), np.add.reduce(kernels.mix(s)), np.add.reduce(kernels.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c.view(np.int64)) for c in out]], ["_key", "n", "set_a", "set_b"])
-
-    return df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(fingerprint, "_key bigint, n bigint, set_a bigint, set_b bigint")
-
-
-def lists(df: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """(run, _key, pivot): for each run that several classes of equal sets have, each class by its least key, and the
-    least key of all. Runs are sorted within partitions and read as a stream: no list is held in memory."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths: dict[int, list[int]] = {}
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            for x, _, data, offsets in kernels.text_slices(b.column(1)):
-                values, marks, ids = [], [], []
-                for i, s in enumerate(_sets(data, offsets, words)):
+            for x, y, data, offsets in kernels.text_slices(b.column(1)):
+                sizes, runs = [], []
+                for s in _sets(data, offsets, words):
                     n = len(s)
                     if n not in lengths:
-                        lengths[n] = run_lengths(n, num, den) if n else []
-                    if n * den // num > n:  # a smaller set has no partner but its equals
-                        r = _runs(s[:K], lengths[n])
-                        values.append(r)
-                        ids.append(np.full(len(r), keys[x + i]))
-                        marks.append(np.full(len(r), np.add.reduce(kernels.mix(s))))
-                if values:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], ["run", "mark", "_key"])
+                        lengths[n] = run_lengths(n, num, den)
+                    sizes.append(n)
+                    runs.append(_runs(s[:K], lengths[n]).view(np.int64))
+                ends = np.cumsum([0, *map(len, runs)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(x, y - x), pa.array(sizes, pa.int64()), *map(pa.array, kernels.word_digests(data, offsets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(runs)))],
+                    ["_key", "n", "set_a", "set_b", "runs"],
+                )
 
-    rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(runs, "run bigint, mark bigint, _key bigint")
-    return shared_lists(rows)
+    rows = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(fingerprint, "_key bigint, n bigint, set_a bigint, set_b bigint, runs array<bigint>")
 
 
-def shared_lists(rows: DataFrame, marked: bool = True) -> DataFrame:
-    """(run, _key, pivot) of the rows (run, mark, _key) whose run has several marks: each mark by its least key, and
-    the least key of the run's first mark. Sorted within partitions and read as a stream: no list is held. Rows that
-    are not marked have their key as their mark."""
+def shared_lists(rows: DataFrame) -> DataFrame:
+    """The rows (run, _key) whose run has several keys, once each. Sorted within partitions and read as a stream: no
+    list is held."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by run, mark, key; the first row of a run waits until a second class shows up
-        last_run = last_mark = pivot = None
-        emitted = False
+        # rows come sorted by run and key; the last one of a batch waits until the next batch shows what follows
+        run = key = np.zeros(0, np.int64)
+        open_list = False  # whether the waiting row's run has had another key before
         for b in batches:
-            run, mark, key = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            new_run = np.ones(len(run), bool)
-            new_run[1:] = run[1:] != run[:-1]
-            new_mark = new_run.copy()
-            new_mark[1:] |= mark[1:] != mark[:-1]
-            if len(run) and run[0] == last_run:
-                new_run[0] = False
-                new_mark[0] = mark[0] != last_mark
-            at = np.flatnonzero(new_mark)
-            if not len(at):
+            run, key = (np.concatenate([w, c.to_numpy(zero_copy_only=False)]) for w, c in zip((run, key), b.columns, strict=True))
+            if not len(run):
                 continue
-            last_run, last_mark = run[-1], mark[-1]
-            group = np.cumsum(new_run[at])
-            sizes = np.bincount(group, minlength=group[-1] + 1)
-            out_run, out_key, out_first = [], [], []
-            # the run that was open when the batch began goes on as group 0
-            heads = np.zeros(len(sizes), np.int64)
-            firsts = at[np.flatnonzero(new_run[at])]
-            heads[1:] = key[firsts]
-            if sizes[0]:
-                heads[0] = pivot
-                if not emitted:
-                    out_run.append([run[at[0]]]), out_key.append([pivot]), out_first.append([pivot])
-                    emitted = True
-            several = sizes > 1
-            several[0] = sizes[0] > 0
-            take = several[group]
-            out_run.append(run[at[take]]), out_key.append(key[at[take]]), out_first.append(heads[group[take]])
-            if len(sizes) > 1:
-                pivot, emitted = heads[-1], bool(several[-1])
-            rows = [np.concatenate([np.asarray(v, np.int64) for v in c]) for c in (out_run, out_key, out_first)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["run", "_key", "pivot"])
-
-    order = ["run", "mark", "_key"] if marked else ["run", "_key"]
-    ranked = rows.repartition("run").sortWithinPartitions(*order)
-    ranked = ranked if marked else ranked.select("run", F.col("_key").alias("mark"), "_key")
-    return ranked.mapInArrow(shared, "run bigint, _key bigint, pivot bigint")
+            new_run = np.concatenate([[not open_list], run[1:] != run[:-1]])
+            fresh = new_run.copy()
+            fresh[0] = True
+            fresh[1:] |= key[1:] != key[:-1]
+            run, key, new_run = run[fresh], key[fresh], new_run[fresh]
+            # a row is of a list if it goes on the run before it, or the next row goes on its run
+            take = ~new_run
+            take[:-1] |= ~new_run[1:]
+            open_list = bool(take[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(run[:-1][take[:-1]]), pa.array(key[:-1][take[:-1]])], ["run", "_key"])
+            run, key = run[-1:], key[-1:]
+        if open_list:
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(key)], ["run", "_key"])
+
+    return rows.repartition("run").sortWithinPartitions("run", "_key").mapInArrow(shared, "run bigint, _key bigint")
 
 
 def word_sets(words: int) -> tuple[Callable, Callable]:
@@ -177,119 +143,127 @@ def word_sets(words: int) -> tuple[Callable, Callable]:
     return lambda data, offsets: _sets(data, offsets, words), members
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= num * union (num of den).
+def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True, edits: bool = False) -> DataFrame:
+    """(a, b, linked, n, size, both, edits) of the pairs (a, b): whether the full sets have den * intersection >= num *
+    union; and, if asked for and a has several b, what bounded_pairs() needs: the sizes of b's and of a's set, what
+    they share (of hashed sets), and a map of what one has and the other has not.
 
-    The documents of one side are grouped by the other, in groups of about GROUP, and read as a stream: a text moves
-    once for each of its groups. With sketch, a union
-    sketch that estimates six standard errors too little spares the full sets.
+    The texts of one side are grouped by the other, in groups of about GROUP, and read as a stream: a text moves once
+    for each of its groups. With sketch, a union sketch that estimates six standard errors too little spares the rest.
+    Hashed sets come next; pairs that they do not put under the threshold are decided by full sets.
     """
     per = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    grouped = pairs.join(per, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.expr(f"_n div {GROUP} + 1"))).alias("g"))
-    asked = grouped.select("g", "a", F.lit(0).alias("role"), F.col("a").alias("_key")).distinct().union(grouped.select("g", "a", F.lit(1), F.col("b")))
-    rows = asked.join(texts, "_key").select("g", "a", "role", "_key", F.col("_text").cast("binary").alias("_text"))
+    wide = (F.col("_n") > 1) & F.lit(edits)
+    grouped = pairs.join(per, "a").select("a", "b", wide.alias("wide"), F.xxhash64("a", F.pmod(F.xxhash64("b"), F.expr(f"_n div {GROUP} + 1"))).alias("g"))
+    asked = grouped.select("g", "a", F.lit(0).alias("role"), F.col("a").alias("_key"), F.lit(False).alias("wide")).distinct().union(grouped.select("g", "a", F.lit(1), "b", "wide"))
+    rows = asked.join(texts, "_key").select("g", "a", "role", "_key", "wide", F.col("_text").cast("binary").alias("_text"))
     hashed, members = how
     slack = 6 * math.sqrt(num / den * (1 - num / den) / K)
 
+    def found_in(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which values of x are in y; both are sorted."""
+        return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+    def ruled_out(x: np.ndarray, y: np.ndarray) -> bool:
+        if not len(x) or not len(y):
+            return True
+        union = np.union1d(x[:K], y[:K])[:K]
+        both = np.isin(union, x[:K], assume_unique=True) & np.isin(union, y[:K], assume_unique=True)
+        return both.sum() < (num / den - slack) * len(union)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = mine = full = source = None
+        kinds = {"a": pa.int64(), "b": pa.int64(), "linked": pa.bool_(), "n": pa.int64(), "size": pa.int64(), "both": pa.int64(), "edits": pa.list_(pa.int64())}
         for b in batches:
-            g_col, a_col, role, key = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
+            g_col, a_col, role, key, wide = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(5))
             found = []
-            for x, _, data, offsets in kernels.text_slices(b.column(4)):
+            for x, _, data, offsets in kernels.text_slices(b.column(5)):
                 raw = data.tobytes()
                 at = offsets.tolist()
-                hashes = hashed(data, offsets) if sketch else None
-                for i in range(len(at) - 1):
-                    s = next(hashes) if sketch else None
-                    row, text = x + i, raw[at[i] : at[i + 1]]
+                for row, (s, start, end) in enumerate(zip(hashed(data, offsets), at[:-1], at[1:], strict=True), x):
                     if role[row] == 0:
-                        if group != (g_col[row], a_col[row]):
-                            group, mine, full, source = (g_col[row], a_col[row]), s, None, text
+                        group, mine, full, source = (g_col[row], a_col[row]), s, None, raw[start:end]
                         continue
                     if group != (g_col[row], a_col[row]):
                         continue
-                    if sketch:
-                        small, large = sorted((len(s), len(mine)))
-                        if small * den < num * large or not small:
-                            continue
-                        union = np.union1d(s[:K], mine[:K])[:K]
-                        both = np.isin(union, s[:K], assume_unique=True) & np.isin(union, mine[:K], assume_unique=True)
-                        if both.sum() < (num / den - slack) * len(union):
-                            continue
-                    if full is None:
-                        full = members(source)
-                    other = members(text)
-                    shared = len(full & other)
-                    if shared * den >= num * (len(full) + len(other) - shared):
-                        found.append((a_col[row], key[row]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
-
-    return rows.repartition("g").sortWithinPartitions("g", "a", "role", "_key").mapInArrow(compare, "a bigint, b bigint")
-
-
-def signatures(texts: DataFrame, how: tuple[Callable, Callable], bits: int) -> DataFrame:
-    """(_key, n, bits_0, bits_1, ...): the size of each text's set, and one bit of each of bits hash functions' minima."""
-    hashed, names = how[0], [f"bits_{i}" for i in range(bits // 64)]
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = (kernels.mix(np.arange(1, bits + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        for b in batches:
-            out = np.zeros((len(b), 1 + bits // 64), np.uint64)
-            for x, _, data, offsets in kernels.text_slices(b.column(1)):
-                for i, s in enumerate(hashed(data, offsets), x):
-                    if not len(s):
-                        continue
-                    low = (s ^ (s >> np.uint64(32))).astype(np.uint32)
-                    least = np.full(bits, 0xFFFFFFFF, np.uint32)
-                    for at in range(0, len(low), 64):
-                        np.minimum(least, (low[at : at + 64, None] * factors).min(axis=0), out=least)
-                    ones = kernels.mix(least.astype(np.uint64)) & np.uint64(1)
-                    out[i, 0] = len(s)
-                    out[i, 1:] = np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
-            columns = np.ascontiguousarray(out.T).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in columns]], ["_key", "n", *names])
-
-    return texts.select("_key", F.col("_text").cast("binary").alias("_text")).mapInArrow(sign, "_key bigint, n bigint, " + ", ".join(f"{n} bigint" for n in names))
+                    linked, both, changed = False, None, None
+                    if wide[row] or not sketch or not ruled_out(s, mine):
+                        shared = found_in(mine, s)
+                        both = int(shared.sum())
+                        if wide[row]:
+                            marks = np.zeros(BITS, np.uint8)
+                            for part in (s[~shared], mine[~found_in(s, mine)]):
+                                marks[part & np.uint64(BITS - 1)] = 1
+                            changed = np.packbits(marks, bitorder="little").view(np.int64)
+                        if both and both * den >= num * (len(s) + len(mine) - both):
+                            full = members(source) if full is None else full
+                            other = members(raw[start:end])
+                            n = len(full & other)
+                            linked = n * den >= num * (len(full) + len(other) - n)
+                    found.append((a_col[row], key[row], linked, len(s), len(mine), both, changed))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return rows.repartition("g").sortWithinPartitions("g", "a", "role", "_key").mapInArrow(compare, "a bigint, b bigint, linked boolean, n bigint, size bigint, both bigint, edits array<bigint>")
 
 
 def around_originals(linked: DataFrame) -> DataFrame:
-    """linked with another pivot for each run: the member whose runs have the most members in all; of equals the least."""
+    """(a, b): the members b of each run with its pivot a, the member whose runs have the most members in all; of
+    equals the least. Each pair once."""
     counts = linked.groupBy("run").agg(F.count("*").alias("_n"))
     shared = linked.join(counts, "run").groupBy("_key").agg(F.sum("_n").alias("_shared"))
-    pivots = linked.join(shared, "_key").groupBy("run").agg(F.max_by("_key", F.struct("_shared", F.bitwise_not("_key"))).alias("pivot"))
-    return linked.select("run", "_key").join(pivots, "run")
-
-
-def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True, bits: int = BITS) -> DataFrame:
-    """(node, component) of the links among the members of lists (run, _key, pivot)."""
-    linked = cut(around_originals(linked), "near-pivots")
-    first = linked.where("_key != pivot").select(F.col("pivot").alias("a"), F.col("_key").alias("b")).distinct()
-    links = cut(confirm(first, texts, how, num, den, sketch), "near-links")
-    parts = components(links)
-    # lists that still hold several components: members outside the most frequent one meet all members of others
-    placed = linked.join(parts.withColumnRenamed("node", "_key"), "_key", "left").select("run", "_key", "pivot", F.coalesce("component", "_key").alias("component"))
-    mixed = cut(placed.groupBy("run", "component").agg(F.count("*").alias("_n")), "near-mixed")
-    most = mixed.groupBy("run").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_n", "component")).alias("most")).where("_parts > 1").drop("_parts")
-    wide = placed.join(most, "run")
-    signed = cut(signatures(texts, how, bits), "near-bits")
-    held = wide.groupBy("_key").agg(F.collect_list("run").alias("runs"))  # as many as a document has runs, at most
-    open_lists = wide.join(signed.join(held, "_key"), "_key")
-    few = open_lists.where("component != most").alias("x")
-    off = (1 - num / den) / 2
-    differ = sum((F.bit_count(F.col(f"x.bits_{i}").bitwiseXOR(F.col(f"y.bits_{i}"))) for i in range(bits // 64)), F.lit(0))
-    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (differ <= bits * off + SPREAD * math.sqrt(bits * off * (1 - off)))
-    # a pair that shares several runs meets at the least of them
-    once = F.col("x.run") == F.array_min(F.array_intersect("x.runs", "y.runs"))
-    meet = few.join(open_lists.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x._key") < F.col("y._key"))) & near & once)
-    # pairs with a list's pivot have been looked at
-    meet = meet.where("x._key != y.pivot AND y._key != x.pivot").select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b")).distinct()
-    more = cut(meet, "near-pairs")
-    if not more.isEmpty():
-        links = links.union(cut(confirm(more, texts, how, num, den, sketch), "near-links"))
-        parts = components(links)
-    discard(mixed)
+    pivots = linked.join(shared, "_key").groupBy("run").agg(F.max_by("_key", F.struct("_shared", F.bitwise_not("_key"))).alias("a"))
+    return linked.join(pivots, "run").where("_key != a").select("a", F.col("_key").alias("b")).distinct()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(node, component) of the ends of links (a, b): nodes of one component are connected. Each node takes the one
+    that the most are linked to of itself and its a's, twice; what lies further apart keeps different components."""
+    hubs = links.groupBy("a").agg(F.count("*").alias("_n"))
+    near = links.join(hubs, "a").select(F.col("b").alias("node"), "_n", F.col("a").alias("top")).union(hubs.select(F.col("a").alias("node"), "_n", F.col("a").alias("top")))
+    once = near.groupBy("node").agg(F.max_by("top", F.struct("_n", F.bitwise_not("top"))).alias("top"))
+    return once.join(once.select(F.col("node").alias("top"), F.col("top").alias("component")), "top").select("node", "component")
+
+
+def bounded_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of different components, among the members (a: the pivot, b, component, n, size, both,
+    edits) of a pivot's lists, that can reach the threshold.
+
+    A member is its pivot's set but for its edits, the tokens that one of the two has and the other has not. Two
+    members share as many tokens as both share with the pivot, less the pivot's, plus their common edits; and of their
+    edits they have no more in common than their maps of edits show. So the bound is exact, no pair over the threshold
+    is left out, and members that were edited in different places make no pair. Members of a pivot's most frequent
+    component do not meet each other.
+    """
+    words = [f"e{i}" for i in range(BITS // 64)]
+    rows = members.select(F.col("a").alias("pivot"), F.col("b").alias("_key"), "component", "n", "size", "both", (F.col("n") + F.col("size") - 2 * F.col("both")).alias("changed"), *[F.get("edits", i).alias(w) for i, w in enumerate(words)])
+    rows = rows.withColumn("spare", F.col("changed") - sum((F.bit_count(w) for w in words), F.lit(0)))
+    most = rows.groupBy("pivot", "component").agg(F.count("*").alias("_c")).groupBy("pivot").agg(F.count("*").alias("_parts"), F.max_by("component", F.struct("_c", "component")).alias("most")).where("_parts > 1").drop("_parts")
+    rows = rows.join(most, "pivot")
+    # common edits that the threshold asks for
+    need = f"CAST(ceil({num}D * (x.n + y.n) / {num + den} - 1e-9) AS bigint) - x.both - y.both + x.size"
+    common = " + ".join(f"bit_count(x.{w} & y.{w})" for w in words)
+    fits = f"{den} * x.n >= {num} * y.n AND {den} * y.n >= {num} * x.n AND least(x.changed, y.changed) >= {need} AND {common} + least(x.spare, y.spare) >= {need}"
+    other = "x.component != y.component AND (y.component = y.most OR x._key < y._key)"
+    pairs = rows.where("component != most").alias("x").join(rows.alias("y"), F.expr(f"x.pivot = y.pivot AND {other} AND {fits}"))
+    return pairs.select(F.least("x._key", "y._key").alias("a"), F.greatest("x._key", "y._key").alias("b"))
+
+
+def unite(linked: DataFrame, texts: DataFrame, how: tuple[Callable, Callable], num: int, den: int, sketch: bool = True) -> DataFrame:
+    """(node, component) of the links over the threshold among the members of lists (run, _key).
+
+    Every member is compared with its lists' pivots, which decides these pairs; stars() unites the linked ones. Of the
+    others, those that bounded_pairs() lets through are compared. Both steps are exact: no pair of a list that is over
+    the threshold is left out, and none is sampled; members that are united already need no look.
+    """
+    first = cut(around_originals(linked), "near-pivots")
+    seen = cut(confirm(first, texts, how, num, den, sketch, edits=True), "near-links")
+    links = seen.where("linked").select("a", "b")
+    parts = stars(links)
+    known = seen.where("edits IS NOT NULL").join(parts, seen["b"] == parts["node"], "left").withColumn("component", F.coalesce("component", "b"))
+    more = cut(bounded_pairs(known.drop("node", "linked"), num, den).distinct(), "near-pairs")
+    again = cut(confirm(more, texts, how, num, den, sketch), "near-links")
+    parts = components(links.union(again.where("linked").select("a", "b")))
+    discard(first, seen, more, again)
     return parts
 
 
@@ -298,15 +272,20 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     (similarity of at least num / den), and whether it is its own.
 
     Texts that are null, empty or without a word have an empty set and no links. With fewer words than a shingle the
-    whole sequence is one. Repeated rows share a component. Other columns are not read. An empty table: no rows.
+    whole sequence is one. Repeated rows share a component; rows that share a key but not a text are given each, under
+    the key's component. Rows without a key give no row; a key must be an integer. Other columns are not read. An
+    empty table: no rows.
     """
-    found = cut(sets(df, key, text, words), "near-sets")
-    linked = cut(lists(df, key, text, words, num, den), "near-lists")
-    texts = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
-    involved = linked.select("_key").distinct()
-    texts = cut(texts.join(involved, "_key"), "near-texts")
+    found = cut(prints(df, key, text, words, num, den), "near-sets")
+    classes = cut(found.where("n > 0").groupBy("set_a", "set_b").agg(F.min("_key").alias("_class"), F.count("*").alias("_n")).withColumn("set", F.struct("set_a", "set_b")).select("set", "_class", "_n"), "near-classes")
+    placed = join_one(found.where("n > 0").select("_key", "n", F.struct("set_a", "set_b").alias("set")), classes, "set").select("_key", "n", "_class")
+    # one document speaks for its class
+    runs = found.join(classes.select(F.col("set.set_a"), F.col("set.set_b"), F.col("_class").alias("_key")), ["set_a", "set_b", "_key"]).select(F.explode("runs").alias("run"), "_key")
+    linked = cut(shared_lists(runs), "near-lists")
+    texts = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+    texts = cut(texts.join(linked.select("_key").distinct(), "_key").groupBy("_key").agg(F.min("_text").alias("_text")), "near-texts")
     parts = unite(linked, texts, word_sets(words), num, den)
-    classes = found.where("n > 0").groupBy("set_a", "set_b").agg(F.min("_key").alias("_class"))
-    full = found.where("n > 0").join(classes, ["set_a", "set_b"]).select("_key", "n", "_class").union(found.where("n = 0").select("_key", "n", "_key"))
+    discard(texts, linked)
+    full = placed.union(found.where("n = 0").select("_key", "n", F.col("_key").alias("_class")))
     ends = full.join(parts.withColumnRenamed("node", "_class"), "_class", "left").select("_key", "n", F.coalesce("component", "_class").alias("component_id"))
     return ends.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_key") == F.col("component_id")).alias("kept"))
