@@ -1,27 +1,27 @@
 """Token ids of whole texts, as the tokenizers library gives them, at the speed of a dictionary.
 
-The public word BPE never joins tokens across white space, so a text's ids are those of its white-space separated
-words, one after the other. Words that a worker has met come from a dictionary; new ones are split as the library
-splits them and their pieces encoded by its model. That shortcut holds for texts of characters whose normalisation is
-plain lower-casing; any other text, and any that names a special token, is encoded whole by the library. So ids
-always equal the library's.
+The public word BPE splits texts into pieces before it joins anything, so a text's ids are those of its pieces, one
+after the other. Pieces that a worker has met come from a dictionary; new ones are encoded by the library's model. That
+shortcut holds for texts of characters whose normalisation is plain lower-casing; any other text, and any that names a
+special token, is encoded whole by the library. So ids always equal the library's.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
-import regex
 
 #: Characters that NFC leaves alone and that lower-case one by one: white space, ASCII, Latin letters without the
 #: dotted capital I, Cyrillic, kana, common Han and Hangul syllables.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ɏА-яЁёぁ-ゖァ-ヺ一-鿿가-힣‐-‧€]")
-MOST_WORDS = 600_000
+MOST_PIECES = 600_000
 
-#: Fixed value: how the vocabulary's tokenizer splits words.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed value: how the vocabulary's tokenizer splits texts, for the characters of _PLAIN: endings after an apostrophe,
+#: runs of letters, single numerals, runs of anything else.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\w\s]|_)+")
 
 
 def _byte_letters() -> list[str]:
@@ -46,7 +46,7 @@ def _put(table: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of at most MOST_WORDS words (then starts anew)."""
+    """Encodes texts; keeps the ids of at most MOST_PIECES pieces (then starts anew)."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,41 +59,31 @@ class Encoder:
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
-        self.pieces: dict[str, list[int]] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > MOST_WORDS:
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.place) + len(pieces) > MOST_PIECES:
             self.place.clear()
             self.used = 0
-            self.pieces.clear()
-        flat: list[int] = []
-        ends: list[int] = []
-        pieces, tokenize = self.pieces, self.tokenizer.model.tokenize
-        for word in words:
-            for piece in (word,) if word.isalpha() else _PIECE.findall(word):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = [t.id for t in tokenize("".join([_BYTE[x] for x in piece.encode()]))]
-                flat += got
-            ends.append(len(flat))
+        tokenize = self.tokenizer.model.tokenize
+        made = [[t.id for t in tokenize(p if p.isascii() else "".join([_BYTE[x] for x in p.encode()]))] for p in pieces]
         first = len(self.place)
-        self.place.update(zip(words, range(first, first + len(words)), strict=True))
-        stops = self.used + np.array(ends, np.int64)
-        self.start = _put(self.start, first, np.concatenate([[self.used], stops[:-1]]))
-        self.length = _put(self.length, first, np.diff(stops, prepend=self.used))
-        self.flat = _put(self.flat, self.used, np.array(flat, np.uint32))
-        self.used += len(flat)
+        self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        self.start = _put(self.start, first, self.used + np.cumsum(sizes) - sizes)
+        self.length = _put(self.length, first, sizes)
+        self.flat = _put(self.flat, self.used, np.fromiter(chain.from_iterable(made), np.uint32))
+        self.used += int(sizes.sum())
 
     def ids(self, text: str) -> np.ndarray:
         if _PLAIN.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
-        at = [*map(self.place.get, words)]
+        pieces = _PIECE.findall(text.lower())
+        at = [*map(self.place.get, pieces)]
         if None in at:
-            new = list(dict.fromkeys(w for w, p in zip(words, at, strict=True) if p is None))
-            known = len(self.place) + len(new) <= MOST_WORDS
-            self._learn(new if known else list(dict.fromkeys(words)))
-            at = [*map(self.place.get, words)]
+            new = list(dict.fromkeys([p for p, i in zip(pieces, at, strict=True) if i is None]))
+            known = len(self.place) + len(new) <= MOST_PIECES
+            self._learn(new if known else list(dict.fromkeys(pieces)))
+            at = [*map(self.place.get, pieces)]
         if not at:
             return np.zeros(0, np.uint32)
         at = np.array(at)
