@@ -173,26 +173,50 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most_tests: int)
     return rule
 
 
+def _widen(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+    """rule with each threshold moved out over further bad rows, to midway between the last of them and the first good
+    row that the other tests let through."""
+    tests = list(rule.tests)
+    for i, (name, sign, at) in enumerate(tests):
+        rest = Rule(tests[:i] + tests[i + 1 :]).covers(x)
+        side = 1.0 if sign == ">=" else -1.0
+        v = side * x[name]
+        good = v[rest & ~bad & (v < side * at)]
+        if len(good) and (reached := v[rest & bad & (v > good.max())]).size:
+            tests[i] = (name, sign, float(side * (good.max() + min(reached.min(), side * at)) / 2))
+    return Rule(tests)
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.9, least: int = 3, cuts: int = 24, most_tests: int = 4, most_rules: int = 12, seed: int = 7) -> DecisionList:
-    """Sequential covering of the bad rows. A rule counts only if, on rows it was not grown on, it is right with at
-    least the given precision on at least `least` rows; so few clean documents go. Without both classes: no rules."""
+    """Sequential covering of the bad rows. A rule counts only if it is right with at least the given precision both
+    on the rows left and on those of them that it was not grown on, and there on at least `least` rows (with few
+    labels: on a quarter of the bad ones); so few clean documents go. The bad rows that a refused rule was grown from
+    are set aside, and covering goes on without them. Without both classes: no rules."""
     rules: list[Rule] = []
-    left = np.arange(len(bad))
-    spun = np.random.default_rng(seed).permutation(len(bad)) % 3 > 0
-    while len(rules) < most_rules and bad[left].any() and (~bad[left]).any():
-        grow, prune = left[spun[left]], left[~spun[left]]
-        take = lambda at: {k: v[at] for k, v in x.items()}
-        rule = _grow(take(grow), bad[grow], cuts, most_tests)
+    left, tried = np.ones(len(bad), bool), np.zeros(len(bad), bool)
+    spun = np.empty(len(bad), bool)
+    rng = np.random.default_rng(seed)
+    for kind in (bad, ~bad):  # two thirds of either class to grow on
+        spun[kind] = rng.permutation(int(kind.sum())) % 3 > 0
+    enough = max(1, min(least, int((bad & ~spun).sum()) // 4))
+    take = lambda at: {k: v[at] for k, v in x.items()}
+    while len(rules) < most_rules and (left & spun & bad & ~tried).any() and (left & ~bad).any():
+        grow, prune = left & spun & ~tried, left & ~spun
+        rule = _widen(_grow(take(grow), bad[grow], cuts, most_tests), take(grow), bad[grow])
         xp, bp = take(prune), bad[prune]
         score = lambda r: (2 * bp[h].sum() - h.sum()) / max(1, h.sum()) if (h := r.covers(xp)).any() else -1.0
         pruned = max((Rule(rule.tests[:n]) for n in range(len(rule.tests), 0, -1)), key=score, default=None)
         if pruned is None:
             break
-        hit = pruned.covers(xp)
-        if hit.sum() < least or bp[hit].mean() < precision:
+        covered = pruned.covers(x) & left
+        held = covered & ~spun
+        if held.sum() >= enough and bad[held].mean() >= precision and bad[covered].mean() >= precision:
+            rules.append(pruned)
+            left &= ~covered
+        elif (grown := rule.covers(x) & grow & bad).any():
+            tried |= grown
+        else:
             break
-        rules.append(pruned)
-        left = left[~pruned.covers(take(left))]
     return DecisionList(rules)
 
 
