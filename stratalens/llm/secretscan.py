@@ -22,8 +22,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 KINDS = [("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
 WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
-WINDOW = 20
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+WINDOW, CHUNK = 20, 256
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character at which a window of each class counts as random.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.45, "mixed": 3.75}
@@ -35,61 +34,76 @@ def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str, group: int, least: int, kind: int) -> str:
-    """SQL: array<struct<start, kind, end>> of the matches whose group is long enough.
+def _parts(text: str, pattern: str, *groups: int) -> str:
+    """SQL: array<struct<`0`, `1`, ...>> of the matches: the text from the end of the last match to the end of this
+    one, and the groups asked for. The two extractions walk alike. \\G holds each step to where the last one ended:
+    what follows the last match is looked through once."""
+    whole, p = _literal(rf"\G(?s:.*?)(?:{pattern})"), _literal(pattern)
+    return f"arrays_zip(regexp_extract_all({text}, {whole}, 0), {', '.join(f'regexp_extract_all({text}, {p}, {g})' for g in groups)})"
+
+
+def _placed(parts: str, kind: str, made: str, wanted: str) -> str:
+    """SQL: array<kind> of what `made` gives for each part x that is `wanted`, where acc.at is the code points before x.
 
-    The text up to the end of each match, and the match itself, come from two extractions that walk alike; lengths
-    add up to places, in code points. \\G holds each step to where the last one ended: what follows the last match is
-    looked through once.
+    Lengths add up to places. Blocks of CHUNK matches are added up first and then walked from where they begin, so that
+    arrays that grow match by match stay short.
     """
-    whole, p = _literal(rf"\G(?s:.*?)(?:{pattern})"), _literal(pattern)
-    parts = f"arrays_zip(regexp_extract_all({text}, {whole}, 0), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
-    step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN length(x.`2`) >= {least} THEN concat(acc.spans, array(struct(acc.at + length(x.`0`) - length(x.`1`) AS start, {kind} AS kind, acc.at + length(x.`0`) AS end))) ELSE acc.spans END AS spans)"
-    return f"aggregate({parts}, struct(0 AS at, CAST(array() AS array<struct<start: int, kind: int, end: int>>) AS spans), {step}, acc -> acc.spans)"
+    chunks = f"CASE WHEN size({parts}) > 0 THEN sequence(0, (size({parts}) - 1) div {CHUNK}) ELSE CAST(array() AS array<int>) END"
+    one = f"aggregate(slice({parts}, k * {CHUNK} + 1, {CHUNK}), 0, (n, x) -> n + length(x.`0`))"
+    begins = f"aggregate({chunks}, struct(0 AS at, CAST(array() AS array<int>) AS begins), (acc, k) -> struct(acc.at + {one} AS at, concat(acc.begins, array(acc.at)) AS begins), acc -> acc.begins)"
+    step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN {wanted} THEN concat(acc.found, array({made})) ELSE acc.found END AS found)"
+    walk = f"aggregate(slice({parts}, k * {CHUNK} + 1, {CHUNK}), struct(begin AS at, CAST(array() AS array<{kind}>) AS found), {step}, acc -> acc.found)"
+    return f"flatten(transform({begins}, (begin, k) -> {walk}))"
 
 
 def _entropy(window: int) -> str:
-    """SQL lambda of a candidate struct<start, text>: it with the least start and greatest end of its random windows."""
+    """SQL lambda of a candidate struct<start, text>: it with the least start and greatest end of its random windows.
+
+    One character comes into the window and one goes out: only their two counts change, and with them two terms of the
+    sum of n log2 n. The counts are those of the two characters in the window.
+    """
     bits = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
-    here = f"instr({_literal(ALPHABET)}, substring(c.text, i, 1))"
-    gone = f"CASE WHEN i > {window} THEN instr({_literal(ALPHABET)}, substring(c.text, i - {window}, 1)) ELSE 0 END"
-    # acc: counts by character, the sum of n log2 n, and the span so far; one character comes in, one goes out
-    moved = f"transform(acc.counts, (n, j) -> n + CASE WHEN j + 1 = {here} THEN 1 ELSE 0 END - CASE WHEN j + 1 = {gone} THEN 1 ELSE 0 END)"
-    came = f"acc.counts[{here} - 1]"
-    went = f"CASE WHEN i > {window} THEN acc.counts[({gone}) - 1] ELSE 0 END"
-    total = f"acc.total + CASE WHEN {here} = {gone} THEN 0D ELSE {bits}[{came} + 1] - {bits}[{came}] + CASE WHEN i > {window} THEN {bits}[{went} - 1] - {bits}[{went}] ELSE 0D END END"
+    count = lambda held, c: f"(length({held}) - length(replace({held}, {c}, '')))"
+    held = f"substring(c.text, greatest(1, i - {window}), least(i - 1, {window}))"
+    left = f"substring(c.text, greatest(1, i - {window - 1}), least(i - 1, {window - 1}))"
+    gone = count(held, f"substring(c.text, i - {window}, 1)")
+    came = count(left, "substring(c.text, i, 1)")
+    total = f"acc.total + {bits}[{came} + 1] - {bits}[{came}] + CASE WHEN i > {window} THEN {bits}[{gone} - 1] - {bits}[{gone}] ELSE 0D END"
     full = f"i >= {window} AND log2({window}) - ({total}) / {window} >= c.threshold"
-    step = f"(acc, i) -> struct({moved} AS counts, {total} AS total, CASE WHEN {full} AND acc.low < 0 THEN i - {window} ELSE acc.low END AS low, CASE WHEN {full} THEN i ELSE acc.high END AS high)"
-    start = f"struct(array_repeat(0, {len(ALPHABET)}) AS counts, 0D AS total, -1 AS low, -1 AS high)"
-    return f"c -> aggregate(sequence(1, length(c.text)), {start}, {step}, acc -> struct(c.start + acc.low AS start, 3 AS kind, c.start + acc.high AS end, acc.low AS low))"
+    step = f"(acc, i) -> struct({total} AS total, CASE WHEN {full} AND acc.low < 0 THEN i - {window} ELSE acc.low END AS low, CASE WHEN {full} THEN i ELSE acc.high END AS high)"
+    return f"c -> aggregate(sequence(1, length(c.text)), struct(0D AS total, -1 AS low, -1 AS high), {step}, acc -> struct(c.start + acc.low AS start, 3 AS kind, c.start + acc.high AS end, acc.low AS low))"
 
 
 def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), allow: Sequence[str] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> DataFrame:
     """keep, assign, access, hex and entropy: arrays of struct<start, kind, end> found in each whole text.
 
-    Places are code points, ends exclusive. Null and empty texts have none. Rows that repeat are scanned each.
+    Places are code points, ends exclusive. Null and empty texts have none. Rows that repeat are scanned each. An empty
+    table gives no rows. A kept column that is named like one of the kinds comes out with kept_ before its name.
     Letters of the keywords count in either case, of ASCII only.
     """
-    rows = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kinds = [*[k for k, *_ in KINDS], "entropy"]
+    names = [f"kept_{c}" if c in kinds else c for c in keep]
+    held = [f"_keep_{i}" for i in range(len(keep))]
+    rows = df.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     low = F.lower("_text")
     named = F.lit(False)
     for w in WORDS:
         named = named | low.contains(w)
-    may = {"assign": named, "access": F.contains(F.col("_text"), F.lit("AKIA")), "hex": F.col("_text").rlike("[0-9a-f]{24}")}
-    none = F.expr("CAST(array() AS array<struct<start: int, kind: int, end: int>>)")
-    found = rows.select("*", *[F.when(may[k], F.expr(_spans("_text", p, g, n, i))).otherwise(none).alias(k) for i, (k, p, g, n) in enumerate(KINDS)])
-    # candidates: their places, their texts, the threshold of their class; then those on the allow-list go
-    whole, p = _literal(rf"\G(?s:.*?)(?:{CANDIDATE})"), _literal(CANDIDATE)
-    parts = f"arrays_zip(regexp_extract_all(_text, {whole}, 0), regexp_extract_all(_text, {p}, 0))"
+    may = {"assign": named, "access": F.contains(F.col("_text"), F.lit("AKIA")), "hex": F.col("_text").rlike("[0-9a-f]{24}"), "entropy": F.col("_text").rlike(CANDIDATE)}
+    parts = {k: _parts("_text", p, 0, g) for k, p, g, _ in KINDS} | {"entropy": _parts("_text", CANDIDATE, 0)}
+    found = rows.select("*", *[F.when(may[k], F.expr(p)).alias(f"_{k}") for k, p in parts.items()])
+    span = "struct<start: int, kind: int, end: int>"
+    none = F.expr(f"CAST(array() AS array<{span}>)")
+    made = "struct(acc.at + length(x.`0`) - length(x.`1`) AS start, {} AS kind, acc.at + length(x.`0`) AS end)"
+    spans = [F.when(F.col(f"_{k}").isNotNull(), F.expr(_placed(f"_{k}", span, made.format(i), f"length(x.`2`) >= {n}"))).otherwise(none).alias(k) for i, (k, _, _, n) in enumerate(KINDS)]
+    # candidates: their places, their texts, the threshold of their class; those on the allow-list go
     level = f"CASE WHEN x.`1` RLIKE '^[0-9a-f]+$' OR x.`1` RLIKE '^[0-9A-F]+$' THEN {thresholds['hex']}D WHEN x.`1` RLIKE '^([0-9a-z_-]+|[0-9A-Z_-]+)$' THEN {thresholds['alnum']}D ELSE {thresholds['mixed']}D END"
-    allowed = " OR ".join(f"x.`1` RLIKE {_literal(a)}" for a in allow) or "false"
-    step = f"(acc, x) -> struct(acc.at + length(x.`0`) AS at, CASE WHEN {allowed} THEN acc.found ELSE concat(acc.found, array(struct(acc.at + length(x.`0`) - length(x.`1`) AS start, x.`1` AS text, {level} AS threshold))) END AS found)"
-    candidates = f"aggregate({parts}, struct(0 AS at, CAST(array() AS array<struct<start: int, text: string, threshold: double>>) AS found), {step}, acc -> acc.found)"
-    loose = F.expr(f"filter(transform({candidates}, {_entropy(window)}), e -> e.low >= 0)")
-    loose = F.when(F.col("_text").rlike(CANDIDATE), F.transform(loose, lambda e: F.struct(e.start.alias("start"), e.kind.alias("kind"), e.end.alias("end")))).otherwise(none)
-    base = F.concat(*[k for k, *_ in KINDS])
-    clear = F.filter(loose, lambda e: ~F.exists(base, lambda b: (b.start < e.end) & (e.start < b.end)))
-    return found.select(*keep, *[k for k, *_ in KINDS], clear.alias("entropy"))
+    suspect = " AND ".join(f"NOT x.`1` RLIKE {_literal(a)}" for a in allow) or "true"
+    candidates = _placed("_entropy", "struct<start: int, text: string, threshold: double>", f"struct(acc.at + length(x.`0`) - length(x.`1`) AS start, x.`1` AS text, {level} AS threshold)", suspect)
+    loose = F.when(F.col("_entropy").isNotNull(), F.expr(f"transform(filter(transform({candidates}, {_entropy(window)}), e -> e.low >= 0), e -> struct(e.start AS start, e.kind AS kind, e.end AS end))")).otherwise(none)
+    found = found.select(*held, *spans, loose.alias("_loose"))
+    clear = F.filter("_loose", lambda e: ~F.exists(F.concat(*kinds[:-1]), lambda b: (b.start < e.end) & (e.start < b.end)))
+    return found.select(*[F.col(h).alias(n) for h, n in zip(held, names, strict=True)], *kinds[:-1], clear.alias("entropy"))
 
 
 def listing(*columns: str) -> Column:
