@@ -5,17 +5,18 @@ strings have equal anchors, so it is enough to sort the suffixes that start at a
 anchor stands for the strings that chose it; they span its content: some bytes before it and some after it.
 
 1. Fingerprints of anchors are exchanged; an anchor whose K bytes occur once has no repeat and goes no further.
-2. Contents of the others are sorted into runs by what follows the anchor. Equal contents of a run become one record,
-   which lists its places. Runs are front-coded (common prefix length, rest), compressed, and exchanged in blocks by
-   fingerprint.
+   Occurrences that a task has seen twice itself are known to repeat: one of them is enough to tell the others, so a
+   passage that a third of the documents have is not dealt to one task.
+2. Contents of the others are sorted into runs by what follows the anchor. Of a run's equal contents the least place
+   goes on; the other places are repeats already and are put out at once. Runs are front-coded (common prefix length,
+   rest), compressed, and exchanged in blocks by fingerprint, in as many parts as the number of anchors asks for.
 3. A loser tree merges the runs of a part. It knows each candidate's common prefix with the last winner, compares
    from there on only, and hands on the common prefix of neighbours.
 4. Neighbours that share too little to repeat any string are dropped; the strings of the others are compared within
-   groups of equal anchors, and all but the first of equal ones are marked.
+   groups of equal anchors: hashes find the repeats and the bytes confirm them. All but the first are marked.
 
-Hot strings: a run holds equal contents once, so a passage that a third of the documents have reaches the merge once
-a run. Memory is bounded by a run (RUN_BYTES), by a part's compressed blocks, and by the distinct contents of an
-anchor.
+Memory is bounded by a run (RUN_BYTES), by a part's compressed blocks (PART_BYTES before compression, on average), and
+by the distinct contents of one anchor of K bytes.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm import kernels
-from stratalens.llm.cut import cut
+from stratalens.llm.cut import cut, keyed
 
 SIZE, K = 100, 24
 RUN_BYTES, BLOCK_RECORDS, FLUSH_RECORDS = 48 << 20, 4096, 8192
+PART_BYTES, ANCHOR_BYTES = 64 << 20, 200  # bytes of a part before compression, and of an anchor's content on average
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np
     return chosen[new], starts[new], starts[ends], h[chosen[new]]
 
 
-def repeated(df: DataFrame, size: int) -> DataFrame:
+def repeated(docs: DataFrame, size: int) -> DataFrame:
     """(_key, at): array of the anchors of each document whose fingerprint occurs again, in any document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,65 +76,67 @@ def repeated(df: DataFrame, size: int) -> DataFrame:
             for x, y, data, offsets in kernels.text_slices(b.column(1)):
                 at, _, _, h = anchors(data, offsets, size)
                 rows = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[x:y][rows].astype(np.int64)), pa.array((at - offsets[rows]).astype(np.int64))], ["print", "_key", "at"])
+                doc, place = keys[x:y][rows], at - offsets[rows]
+                _, first, group, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = counts[group] > 1
+                spread = known.copy()
+                spread[first] = False
+                deal = np.where(spread, kernels.mix(h ^ kernels.mix(np.arange(len(h), dtype=np.uint64) + keys[x : x + 1].astype(np.uint64))), h)
+                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(h.view(np.int64)), pa.array(known), pa.array(doc), pa.array(place)], ["deal", "print", "known", "_key", "at"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by fingerprint; the last of a batch waits for the next one
         kept = None
         repeats = False
         for b in batches:
-            h, key, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            h, known, key, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if kept is not None:
-                h, key, at = (np.concatenate([k, v]) for k, v in zip(kept, (h, key, at), strict=True))
+                h, known, key, at = (np.concatenate([k, v]) for k, v in zip(kept, (h, known, key, at), strict=True))
             if not len(h):
                 continue
             same = np.concatenate([[repeats], h[1:] == h[:-1], [False]])
-            kept, repeats = (h[-1:], key[-1:], at[-1:]), bool(same[-2])
-            take = (same[:-1] | same[1:])[:-1]
+            kept, repeats = (h[-1:], known[-1:], key[-1:], at[-1:]), bool(same[-2])
+            take = (same[:-1] | same[1:] | known)[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(key[:-1][take]), pa.array(at[:-1][take])], ["_key", "at"])
-        if kept is not None and repeats:
-            yield pa.RecordBatch.from_arrays([pa.array(kept[1]), pa.array(kept[2])], ["_key", "at"])
+        if kept is not None and (repeats or kept[1][0]):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[2]), pa.array(kept[3])], ["_key", "at"])
 
-    rows = df.mapInArrow(emit, "print bigint, _key bigint, at bigint")
-    found = rows.repartition("print").sortWithinPartitions("print").mapInArrow(again, "_key bigint, at bigint")
+    rows = docs.mapInArrow(emit, "deal bigint, print bigint, known boolean, _key bigint, at bigint")
+    found = rows.repartition("deal").select("print", "known", "_key", "at").sortWithinPartitions("print").mapInArrow(again, "_key bigint, at bigint")
     return found.groupBy("_key").agg(F.collect_list("at").alias("at"))
 
 
-def _pack(records: list[tuple[bytes, bytes, list[tuple[int, int]]]]) -> bytes:
-    """A front-coded block of sorted records (after the anchor, before it reversed, places)."""
+def _pack(records: list[tuple[bytes, bytes, tuple[int, int]]]) -> bytes:
+    """A front-coded block of sorted records (after the anchor, before it reversed, place)."""
     lcps, last = [], b""
-    tails, lefts, counts, places = [], [], [], []
+    tails, lefts, places = [], [], []
     for right, left, where in records:
         n = _common(last, right, 0)
         lcps.append(n)
         tails.append(right[n:])
         lefts.append(left)
-        counts.append(len(where))
-        places += where
+        places.append(where)
         last = right
-    head = np.array([lcps, [len(t) for t in tails], [len(x) for x in lefts], counts], np.uint32)
-    flat = np.array(places, np.int64).T.copy()
-    sizes = np.array([len(records), len(places), sum(map(len, tails))], np.int64)
-    return zstandard.compress(b"".join([sizes.tobytes(), head.tobytes(), flat.tobytes(), *tails, *lefts]), 1)
+    head = np.array([lcps, [len(t) for t in tails], [len(x) for x in lefts]], np.uint32)
+    flat = np.array(places, np.int64).reshape(-1, 2).T.copy()
+    sizes = np.array([len(records), sum(map(len, tails))], np.int64)
+    return zstandard.compress(b"".join([sizes.tobytes(), flat.tobytes(), head.tobytes(), *tails, *lefts]), 1)
 
 
-def _unpack(block: bytes) -> Iterator[tuple[int, bytes, bytes, list[tuple[int, int]]]]:
-    """(common prefix with the record before, after the anchor, before it reversed, places)."""
+def _unpack(block: bytes) -> Iterator[tuple[int, bytes, bytes, tuple[int, int]]]:
+    """(common prefix with the record before, after the anchor, before it reversed, place)."""
     raw = zstandard.decompress(block)
-    n, m, tail_bytes = (int(v) for v in np.frombuffer(raw, np.int64, 3))
-    at = 24
-    lcps, tails, lefts, counts = np.frombuffer(raw, np.uint32, 4 * n, at).reshape(4, n).tolist()
-    at += 16 * n
-    keys, starts = np.frombuffer(raw, np.int64, 2 * m, at).reshape(2, m).tolist()
-    at += 16 * m
+    n, tail_bytes = (int(v) for v in np.frombuffer(raw, np.int64, 2))
+    keys, starts = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(2, n).tolist()
+    lcps, tails, lefts = np.frombuffer(raw, np.uint32, 3 * n, 16 + 16 * n).reshape(3, n).tolist()
+    at = 16 + 28 * n
     left_at = at + tail_bytes
-    last, place = b"", 0
-    for lcp, tail, left, count in zip(lcps, tails, lefts, counts, strict=True):
+    last = b""
+    for lcp, tail, left, key, start in zip(lcps, tails, lefts, keys, starts, strict=True):
         last = last[:lcp] + raw[at : at + tail]
         at += tail
-        yield lcp, last, raw[left_at : left_at + left], list(zip(keys[place : place + count], starts[place : place + count], strict=True))
+        yield lcp, last, raw[left_at : left_at + left], (key, start)
         left_at += left
-        place += count
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -212,26 +216,27 @@ def _runs_of(rows: list[tuple[int, int, bytes]]) -> list[Iterator[tuple]]:
     return [stream(blocks[r]) for r in sorted(blocks)]
 
 
-def _marks(group: list[tuple[int, int, bytes, bytes, list]], size: int) -> Iterator[tuple[int, int, int]]:
+def _extent(left: bytes, right: bytes, where: tuple[int, int]) -> tuple[int, int, int]:
+    """(key, start, end) of all strings of a content at a place."""
+    return where[0], where[1], where[1] + len(left) + len(right)
+
+
+def _marks(group: list[tuple[int, int, bytes, bytes, tuple[int, int]]], size: int) -> Iterator[tuple[int, int, int]]:
     """(key, start, end) of repeated strings, of records (common prefix with the one before, with the one after,
-    after the anchor, before it reversed, places). Records of one anchor must be in one group."""
+    after the anchor, before it reversed, place), contents different. Records of one anchor must be in one group."""
     texts, spans = [], []
     base = 0
     for before, after, right, left, where in group:
-        first = min(where)
-        n = len(left) + len(right) - size + 1  # strings of this content
-        for place in where:
-            if place != first:  # an equal content stands before it
-                yield place[0], place[1], place[1] + n - 1 + size
         # strings that reach no further right than a neighbour agrees
         reach = max(before, after) - size + len(left)
         if reach >= 0:
             texts.append(left[::-1] + right)
-            spans.append((base, min(n, reach + 1), *first))
+            spans.append((base, min(len(left) + len(right) - size + 1, reach + 1), *where))
             base += len(texts[-1])
     if len(spans) < 2:
         return
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
     table = np.array(spans, np.int64)
     counts = table[:, 1]
     owner = np.repeat(np.arange(len(table)), counts)
@@ -240,34 +245,78 @@ def _marks(group: list[tuple[int, int, bytes, bytes, list]], size: int) -> Itera
     h = kernels.span_hashes(data, at, at + size)
     key, start = table[owner, 2], table[owner, 3] + step
     order = np.lexsort((start, key, h))
-    repeat = np.zeros(len(order), bool)
+    repeat, twin = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
     repeat[order[1:]] = h[order[1:]] == h[order[:-1]]
+    twin[order[1:]] = at[order[:-1]]
     hit = np.flatnonzero(repeat)
-    if len(hit):
-        cut_at = np.flatnonzero((np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)) + 1
-        for part in np.split(hit, cut_at):
+    if not len(hit):
+        return
+    parts = np.flatnonzero((np.diff(hit) != 1) | (np.diff(owner[hit]) != 0) | (np.diff(at[hit] - twin[hit]) != 0)) + 1
+    for part in np.split(hit, parts):
+        first, last = int(at[part[0]]), int(at[part[-1]]) + size
+        shift = first - int(twin[part[0]])
+        if raw[first:last] == raw[first - shift : last - shift]:
             yield int(key[part[0]]), int(start[part[0]]), int(start[part[-1]]) + size
+            continue
+        for i in part:  # equal hashes of different bytes: look at all of the hash that come before
+            text = raw[at[i] : at[i] + size]
+            if any((key[j], start[j]) < (key[i], start[i]) and raw[at[j] : at[j] + size] == text for j in np.flatnonzero(h == h[i])):
+                yield int(key[i]), int(start[i]), int(start[i]) + size
+
+
+def _spans_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["_key", "start", "end"])
+
+
+def _merged(rows: list[tuple[int, int, bytes]], size: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Repeated spans of a part, from its runs' blocks (run, number, block)."""
+    found: list[tuple[int, int, int]] = []
+    group: list[list] = []
+    whole = None
+    for lcp, right, left, where in LoserTree(_runs_of(rows)):
+        if whole is not None:
+            if lcp == len(right) == len(whole[2]) and left == whole[3]:  # an equal content: the later place repeats
+                if where != whole[4]:
+                    found.append(_extent(left, right, max(where, whole[4])))
+                    whole[4] = min(where, whole[4])
+                continue
+            whole[1] = lcp
+            group.append(whole)
+            if lcp < K and len(group) >= FLUSH_RECORDS:
+                yield [*found, *_marks(group, size)]
+                found, group = [], []
+        whole = [lcp, 0, right, left, where]
+    if whole is not None:
+        group.append(whole)
+    yield [*found, *_marks(group, size)]
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(_key, start, end): byte spans whose strings of size bytes start earlier too. Spans of a document may overlap."""
-    docs = df.select(F.col(key).cast("bigint").alias("_key"), F.col(text).cast("binary").alias("_text"))
+    docs = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.col(text).cast("binary").alias("_text"))
     flagged = cut(repeated(docs, size), "suffix-anchors")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = flagged.agg(F.sum(F.size("at"))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * ANCHOR_BYTES // PART_BYTES, 1)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
         held: dict[int, dict] = {}
         held_bytes = 0
+        known: list[tuple[int, int, int]] = []
+        task = TaskContext.get().partitionId()
+        batch = lambda part, number, block: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task << 20 | made], pa.int64()), pa.array([number], pa.int32()), pa.array([block], pa.binary())], ["part", "run", "number", "block"])
 
         def runs() -> Iterator[pa.RecordBatch]:
             nonlocal made
             for part, contents in sorted(held.items()):
                 records = sorted((right, left, where) for (right, left), where in contents.items())
                 for number, i in enumerate(range(0, len(records), BLOCK_RECORDS)):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() << 20 | made], pa.int64()), pa.array([number], pa.int32()), pa.array([_pack(records[i : i + BLOCK_RECORDS])], pa.binary())], ["part", "run", "number", "block"])
+                    yield batch(part, number, _pack(records[i : i + BLOCK_RECORDS]))
+            if known:
+                yield batch((task + made) % parts, -1, zstandard.compress(np.array(known, np.int64).tobytes(), 1))
             made += 1
             held.clear()
+            known.clear()
 
         for b in batches:
             keys, wanted = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
@@ -282,13 +331,14 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SI
                 low = offsets[rows]
                 which = (h % np.uint64(parts)).astype(np.int64)
                 for part, a, s, e, k, o in zip(which[take].tolist(), at[take].tolist(), first[take].tolist(), last[take].tolist(), doc[take].tolist(), low[take].tolist(), strict=True):
-                    content = (raw[a : e + size], raw[s:a][::-1])
-                    where = held.setdefault(part, {}).get(content)
-                    if where is None:
-                        held[part][content] = [(k, s - o)]
+                    content, place = (raw[a : e + size], raw[s:a][::-1]), (k, s - o)
+                    contents = held.setdefault(part, {})
+                    before = contents.setdefault(content, place)
+                    if before is place:
                         held_bytes += e - s + size + 200
-                    else:
-                        where.append((k, s - o))
+                    elif before != place:
+                        known.append(_extent(content[1], content[0], max(before, place)))
+                        contents[content] = min(before, place)
                         held_bytes += 100
                 if held_bytes > RUN_BYTES * 3:
                     yield from runs()
@@ -296,37 +346,19 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SI
         yield from runs()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["_key", "start", "end"])
-
-        def part_spans(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            group: list[list] = []
-            whole = None  # the record before, its places still growing
-            for lcp, right, left, where in LoserTree(_runs_of(rows)):
-                if whole is not None:
-                    if lcp == len(right) == len(whole[2]) and left == whole[3]:
-                        whole[4] = whole[4] + where
-                        continue
-                    whole[1] = lcp
-                    group.append(whole)
-                    if lcp < K and len(group) >= FLUSH_RECORDS:
-                        yield out(list(_marks(group, size)))
-                        group = []
-                whole = [lcp, 0, right, left, where]
-            if whole is not None:
-                group.append(whole)
-            yield out(list(_marks(group, size)))
-
         part, rows = None, []
         for b in batches:
             for p, run, number, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if number < 0:
+                    yield _spans_batch(np.frombuffer(zstandard.decompress(block), np.int64).reshape(-1, 3).tolist())
+                    continue
                 if p != part and rows:
-                    yield from part_spans(rows)
+                    yield from map(_spans_batch, _merged(rows, size))
                     rows = []
                 part = p
                 rows.append((run, number, block))
         if rows:
-            yield from part_spans(rows)
+            yield from map(_spans_batch, _merged(rows, size))
 
     sorted_runs = docs.join(flagged, "_key").select("_key", "_text", "at").mapInArrow(sort, "part int, run bigint, number int, block binary")
     return sorted_runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "_key bigint, start bigint, end bigint")
@@ -337,11 +369,11 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int =
     by a string of size bytes that also starts earlier (in a smaller key, or before in the same text).
 
     Null and empty texts are empty; texts shorter than size keep all. Strings do not cross documents and are judged on
-    the input. key tells documents apart: exactly repeated rows are one document. Other columns are not read. An
-    empty table gives no rows.
+    the input. key tells documents apart: exactly repeated rows are one document. Rows without a key give no
+    row, and a key must be an integer. Other columns are not read. An empty table gives no rows.
     """
     found = cut(spans(df, key, text, size), "suffix-spans").groupBy("_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    docs = df.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    docs = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_key", "n_bytes", "n_removed", "n_spans", "kept"]
