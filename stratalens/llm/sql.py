@@ -37,3 +37,67 @@ b AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
 r(x, y) AS (SELECT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x),
 v AS (SELECT x, min(y) AS alias_of, max(CAST({_rules(_host("'x://' || y"), _path("'x://' || y"), rules, 0)} = 'allow' AS INTEGER)) AS allow, max(CAST({_rules(_host("'x://' || y"), _path("'x://' || y"), rules, 0)} = 'block' AS INTEGER)) AS block FROM r GROUP BY x)
 SELECT page_id, host, path, {_rules('host', 'path', rules, 1)} AS rule, coalesce({_rules('host', 'path', rules, 0)}, CASE WHEN v.allow = 1 THEN 'allow' WHEN v.block = 1 THEN 'block' END, 'allow') AS verdict, v.alias_of FROM p LEFT JOIN v ON p.node = v.x"""
+
+
+def _lower(text: str) -> str:
+    """A-Z lower-cased, nothing else."""
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_COMPONENTS = """r(x, y) AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT r.x, l.z FROM r JOIN (SELECT a AS y, b AS z FROM links UNION ALL SELECT b, a FROM links) l USING (y)),
+least AS (SELECT x, least(x, min(y)) AS part FROM r GROUP BY x)"""
+
+
+def _similar(num: int) -> str:
+    """CTEs: links(a, b) of the sets m(id, token) with 100 * intersection >= num * union. Tokens are ordered by how often
+    they occur; sets over the threshold share one among the first |x| - ceil(num% of |x|) + 1 of either."""
+    return f"""c AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY often, token) AS place FROM (SELECT token, count(*) AS often FROM m GROUP BY token)),
+i AS MATERIALIZED (SELECT id, place FROM m JOIN c USING (token)),
+o AS MATERIALIZED (SELECT id, list(place ORDER BY place) AS places FROM i GROUP BY id),
+p AS (SELECT id, len(places) AS size, places, unnest(places[1 : len(places) - CAST(ceil({num} * len(places) / 100) AS BIGINT) + 1]) AS place FROM o),
+q AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.place = y.place AND x.id < y.id AND 100 * x.size >= {num} * y.size AND 100 * y.size >= {num} * x.size),
+w AS (SELECT a, b, len(x.places) AS n, len(y.places) AS k, len(list_intersect(x.places, y.places)) AS shared FROM q JOIN o x ON x.id = a JOIN o y ON y.id = b),
+links AS (SELECT a, b FROM w WHERE 100 * shared >= {num} * (n + k - shared)),
+{_COMPONENTS}"""
+
+
+def neardup(num: int = 85) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS tokens FROM d),
+m AS (SELECT doc_id AS id, unnest(tokens) AS token FROM sets),
+{_similar(num)}
+SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_shingles, coalesce(part, doc_id) AS component_id, doc_id = coalesce(part, doc_id) AS kept FROM sets LEFT JOIN least ON x = doc_id"""
+
+
+def lines() -> str:
+    """Numbers distinct lines by their first occurrence, so that the least number of a component is its first line."""
+    return f"""WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+l AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line FROM raw WHERE regexp_matches(text, '{_WORDS}')),
+f AS (SELECT text, min(struct_pack(doc_id := doc_id, line := line)) AS first FROM l GROUP BY text),
+n AS (SELECT text, first, row_number() OVER (ORDER BY first) AS id FROM f),
+m AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(2, length(text) - 6)), lambda i: substring({_lower('text')}, i, 8))) AS token FROM n),
+{_similar(80)}
+SELECT l.doc_id, l.line, b.first.doc_id AS kept_key, b.first.line AS kept_line, l.doc_id = b.first.doc_id AND l.line = b.first.line AS kept
+FROM l JOIN n USING (text) LEFT JOIN least ON x = n.id JOIN n b ON b.id = coalesce(part, n.id)"""
+
+
+def suffixes(size: int = 100) -> str:
+    """Texts as hexadecimal digits of their bytes; a byte goes if a string that covers it also starts earlier."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY piece ORDER BY doc_id, pos) AS n FROM (SELECT doc_id, pos, substr(h, CAST(2 * pos + 1 AS INTEGER), {2 * size}) AS piece FROM d, unnest(range(CAST(length(h) / 2 - {size - 1} AS BIGINT))) AS u(pos))),
+r AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {size} THEN 0 ELSE 1 END AS fresh FROM s WHERE n > 1),
+g AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r),
+e AS (SELECT doc_id, run, min(pos) AS low, max(pos) + {size} AS high FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, high AS from_, coalesce(lead(low) OVER (PARTITION BY doc_id ORDER BY low), 9000000000000) AS to_ FROM e UNION ALL SELECT doc_id, 0, min(low) FROM e GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(h, CAST(2 * from_ + 1 AS INTEGER), CAST(2 * (least(to_, length(h) / 2) - from_) AS INTEGER)), '' ORDER BY from_) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def warc() -> str:
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    five = lambda shift: f"substr('{digits}', CAST(((v >> {shift}) & 31) + 1 AS INTEGER), 1)"
+    base32 = f"array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(sha1(p), CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)), lambda v: {' || '.join(five(s) for s in (15, 10, 5, 0))}), '')"
+    return f"""WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), r AS (SELECT page_id, p, {base32} AS payload_digest, max(page_id) OVER (PARTITION BY p) AS first FROM d)
+SELECT page_id, CAST(octet_length(p) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r"""

@@ -1,11 +1,13 @@
 """TIFF media columns: read image files held in binary columns, one row per page, and write them.
 
 Reading walks the chain of image directories, takes strips or tiles, undoes PackBits, LZW or deflate, undoes the
-horizontal predictor, and lays tiles out on the page. Both byte orders are read. Samples are of 8 or 16 bits (16-bit
-samples come out little-endian), chunky or planar; pages of anything else give a row with an error, as do files that
-are damaged, empty or null: a bad file never fails the job.
+horizontal predictor, and lays tiles out on the page. Both byte orders are read. Samples are of 1, 8 or 16 bits (1-bit
+samples come out as bytes 0 and 1, 16-bit samples little-endian), chunky or planar; pages of anything else give a row
+with an error, as do files that are damaged, empty or null, and pages that claim more samples than their strips can
+hold or than MOST_BYTES: a bad file never fails the job.
 
-Pages are decoded one at a time, so memory is bounded by one file and one of its pages.
+Pages are decoded one at a time, so memory is bounded by one file and one of its pages. PackBits is undone packet by
+packet and LZW code by code (codes are cut out of the bits by numpy, a table's worth at a time).
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 CODECS = {"none": NONE, "lzw": LZW, "deflate": ADOBE_DEFLATE, "packbits": PACKBITS}
 _FIELD = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i")}
 
+MOST_BYTES = 1 << 30  # of a page
+#: Bytes that a stored byte of each scheme gives at most.
+_GROWTH = {NONE: 1, PACKBITS: 64, ADOBE_DEFLATE: 1040, DEFLATE: 1040, LZW: 2740}
+
 PAGE = T.StructType([
     T.StructField("page", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
     T.StructField("samples", T.IntegerType()), T.StructField("bits", T.IntegerType()), T.StructField("compression", T.IntegerType()),
@@ -36,20 +42,27 @@ PAGE = T.StructType([
 
 def pack_bits(data: bytes) -> bytes:
     """PackBits: runs of 3 or more equal bytes as (257 - n, byte), other stretches as (n - 1, bytes)."""
-    out, at, n = bytearray(), 0, len(data)
-    literal = 0
-    while at < n:
-        end = at + 1
-        while end < n and end - at < 128 and data[end] == data[at]:
-            end += 1
-        if end - at >= 3 or end == n:
-            for i in range(literal, at, 128):
-                piece = data[i : min(at, i + 128)]
-                out.append(len(piece) - 1)
-                out += piece
-            out += bytes([(257 - (end - at)) & 255 if end - at > 1 else 0, data[at]])
-            literal = end
-        at = end
+    values = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(values)))
+    out, literal = bytearray(), 0
+
+    def stretch(end: int) -> None:
+        for i in range(literal, end, 128):
+            piece = data[i : min(end, i + 128)]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+
+    long = sizes >= 3
+    for at, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
+        stretch(at)
+        literal = at + n
+        while n > 1:
+            some = min(n, 128)
+            out += bytes([257 - some, data[at]])
+            n -= some
+        literal -= n  # a single byte that is left over goes with the next stretch
+    stretch(len(data))
     return bytes(out)
 
 
@@ -111,38 +124,43 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bits before the n-th code after a clear, and its width: widths grow one code early, and stay at 12.
+_CODE_BITS = np.array([min(12, max(9, (258 + n).bit_length())) for n in range(4096)])
+_CODE_AT = np.concatenate([[0], np.cumsum(_CODE_BITS)])
+
+
 def lzw_decode(data: bytes) -> bytes:
-    roots = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, acc, held, last = list(roots), 9, 0, 0, None
+    """Every code after the first repeats what an earlier code gave and the byte that followed it, so entries are
+    places in the output."""
+    stored = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.uint32)
+    bit, total = 0, 8 * len(data)
     out = bytearray()
-    for byte in data:
-        acc, held = acc << 8 | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code = acc >> held
-        acc &= (1 << held) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = list(roots), 9, None
-            continue
-        if last is None:
-            if code > 255:
-                raise ValueError("LZW stream starts with a code that is not set")
-            entry = table[code]
-        else:
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
+    while bit + 9 <= total:
+        at = bit + _CODE_AT[:-1]
+        at = at[at + _CODE_BITS <= total]
+        byte = at >> 3
+        word = stored[byte] << 24 | stored[byte + 1] << 16 | stored[byte + 2] << 8 | stored[byte + 3]
+        codes = word >> (32 - (at & 7) - _CODE_BITS[: len(at)]).astype(np.uint32) & ((1 << _CODE_BITS[: len(at)]) - 1).astype(np.uint32)
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stops[0]) if len(stops) else len(codes)
+        places: list[int] = []  # of what each code gave
+        for entries, code in enumerate(codes[:n].tolist()):
+            here = len(out)
+            places.append(here)
+            if code < 256:
+                out.append(code)
+            elif 258 <= code < 258 + entries:
+                start, end = places[code - 258], places[code - 257] + 1
+                if end <= here:
+                    out += out[start:end]
+                else:  # the entry's last byte is its own first
+                    out += out[start:here]
+                    out.append(out[here])
             else:
                 raise ValueError("LZW code is not set")
-            table.append(last + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out += entry
-        last = entry
+        if n == len(codes) or codes[n] == 257:
+            break
+        bit = int(at[n]) + int(_CODE_BITS[n])
     return bytes(out)
 
 
@@ -235,25 +253,34 @@ def _page(data: bytes, f: dict[int, tuple], order: str) -> tuple[int, int, int,
     width, height, samples = f[WIDTH][0], f[HEIGHT][0], f.get(SAMPLES, (1,))[0]
     bits = set(f.get(BITS, (1,)))
     compression, predictor, planar = f.get(COMPRESSION, (NONE,))[0], f.get(PREDICTOR, (1,))[0], f.get(PLANAR, (1,))[0]
-    if bits not in ({8}, {16}) or predictor not in (1, 2) or not width or not height:
-        raise ValueError("only 8-bit and 16-bit samples, and predictors 1 and 2, are read")
+    if bits not in ({1}, {8}, {16}) or predictor not in (1, 2) or bits == {1} and (predictor == 2 or samples != 1):
+        raise ValueError("only 8-bit and 16-bit samples, single 1-bit ones, and predictors 1 and 2, are read")
+    if compression not in _GROWTH:
+        raise ValueError(f"compression {compression} is not read")
     depth = bits.pop()
-    kind = np.dtype(np.uint8) if depth == 8 else np.dtype(order + "u2")
+    kind = np.dtype(order + "u2") if depth == 16 else np.dtype(np.uint8)
     planes, inside = (samples, 1) if planar == 2 else (1, samples)
     if TILE_AT in f:
         wide, high, at, sizes = f[TILE_WIDTH][0], f[TILE_HEIGHT][0], f[TILE_AT], f[TILE_BYTES]
     else:
         wide, high, at, sizes = width, min(f.get(ROWS_PER_STRIP, (height,))[0], height), f[STRIP_AT], f[STRIP_BYTES]
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError("a page, strip or tile without a sample")
     across, down = -(-width // wide), -(-height // high)
-    if len(at) < planes * across * down:
+    if min(len(at), len(sizes)) < planes * across * down:
         raise ValueError("strips or tiles are missing")
+    size = width * height * samples * kind.itemsize
+    held = sum(min(max(0, n), len(data)) for n in sizes[: planes * across * down]) * _GROWTH[compression]
+    stride = -(-wide // 8) if depth == 1 else wide * inside * kind.itemsize
+    if size > MOST_BYTES or size > held * (8 if depth == 1 else 1) or high * stride > MOST_BYTES:
+        raise ValueError(f"{size} bytes of samples are more than {held} that the strips can hold, or than is read")
     out = np.zeros((height, width, samples), kind.newbyteorder("<"))
     for i in range(planes * across * down):
         plane, rest = divmod(i, across * down)
         top, left = rest // across * high, rest % across * wide
         rows = high if TILE_AT in f else min(high, height - top)
-        raw = data[at[i] : at[i] + sizes[i]]
-        block = np.frombuffer(_decode(raw, compression, rows * wide * inside * kind.itemsize), kind).reshape(rows, wide, inside)
+        block = np.frombuffer(_decode(data[at[i] : at[i] + sizes[i]], compression, rows * stride), kind)
+        block = np.unpackbits(block.reshape(rows, stride), axis=1)[:, :wide, None] if depth == 1 else block.reshape(rows, wide, inside)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         part = block[: height - top, : width - left]
@@ -289,19 +316,37 @@ def read(data: bytes | None) -> Iterator[tuple]:
             return
         try:
             yield (page, *_page(data, fields, order), None)
-        except (KeyError, ValueError, struct.error, zlib.error, IndexError) as e:
+        except (KeyError, ValueError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
             yield (page, *none, f"{type(e).__name__}: {e}")
         page += 1
 
 
+def feature(pixels: bytes, width: int) -> str:
+    """What a page of 8-bit samples looks like: mean and deviation of its samples, mean step to the right and down,
+    entropy in bits, and the shares of eight bands of values, in thousandths."""
+    samples = np.frombuffer(pixels, np.uint8)
+    image = samples[: len(samples) // width * width].reshape(-1, width).astype(np.int16)
+    counts = np.bincount(samples, minlength=256)
+    n, values = len(samples), np.arange(256)
+    mean = int(counts @ values) / n
+    deviation = (int(counts @ (values * values)) / n - mean * mean) ** 0.5
+    steps = [int(np.abs(d).sum(dtype=np.int64)) / max(1, d.size) for d in (np.diff(image, axis=1), np.diff(image, axis=0))]
+    share = counts[counts > 0] / n
+    bands = counts.reshape(8, 32).sum(axis=1) * 1000 // n
+    return f"mean {mean:.2f} deviation {deviation:.2f} right {steps[0]:.2f} down {steps[1]:.2f} entropy {-(share * np.log2(share)).sum():.3f} bands {','.join(map(str, bands.tolist()))}"
+
+
 def pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """One row per page of the files in a binary column: the columns keep, then those of PAGE.
+    """One row per page of the files in a binary column: the columns keep, those of PAGE, and feature (see feature();
+    null if the page's samples are not of 8 bits).
 
-    Null, empty and damaged files give one row with an error. Rows that repeat repeat their pages.
+    A kept column that is named like one of these comes out with file_ before its name. Null, empty and damaged files
+    give one row with an error. Rows that repeat repeat their pages. An empty table gives no rows.
     """
-    src = df.select(*[F.col(c) for c in keep], F.col(content).alias("_file"))
-    schema = T.StructType([*src.schema.fields[:-1], *PAGE.fields])
-    kinds = [pa.int32()] * 6 + [pa.binary(), pa.string()]
+    taken = {*PAGE.fieldNames(), "feature"}
+    src = df.select(*[F.col(c).alias(f"file_{c}" if c in taken else c) for c in keep], F.col(content).alias("_file"))
+    schema = T.StructType([*src.schema.fields[:-1], *PAGE.fields, T.StructField("feature", T.StringType())])
+    kinds = [pa.int32()] * 6 + [pa.binary(), pa.string(), pa.string()]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(source: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
@@ -315,7 +360,7 @@ def pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
             for i in range(len(b)):
                 for page in read(files[i].as_py()):
                     rows.append(i)
-                    out.append(page)
+                    out.append((*page, feature(page[6], page[1] * page[3]) if page[4] == 8 else None))
                     held += len(page[6] or b"")
                     if held > 8 << 20:
                         yield batch(b, rows, out)
@@ -329,6 +374,7 @@ def from_texts(df: DataFrame, text: str, keep: list[str], width: int = 576, code
     """Whole texts as one-page grey TIFFs, losslessly: keep, n_bytes (unpadded) and file.
 
     A text's UTF-8 bytes (null: none), then bytes 255 up to a positive multiple of width, are rows of 8-bit samples.
+    Rows that repeat repeat their files; an empty table gives no rows.
     """
     src = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("file", T.BinaryType())])
@@ -352,9 +398,3 @@ def from_texts(df: DataFrame, text: str, keep: list[str], width: int = 576, code
             yield batch(b, a, sizes, files)
 
     return src.mapInArrow(encode, schema)
-
-
-def features(pixels: str, width: str, height: str) -> F.Column:
-    """A short description of a page, from its stored samples."""
-    p = F.col(pixels)
-    return F.format_string("%dx%d:%s:%d", F.col(width), F.col(height), F.substring(F.md5(p), 1, 12), F.crc32(p))

@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from test_recall import thue_morse
+
 from stratalens.llm import kernels, lines, mixing, neardup, packing, quality, suffixes, tiff, warc
 
 TEXTS = ["a b\tc\nd  é x", None, "", " \n\n", "word", "same same same same\nsame line\n\nsame line", "ñ" * 40 + " end", "x" * 5000]
@@ -60,14 +62,38 @@ def test_damaged_tiffs_give_rows_with_errors():
         assert rows and rows[-1][7]
 
 
-def test_big_endian_16_bit():
+def _tiff(fields, body=b"", order="<"):
+    """A file of one directory: (tag, kind, value) fields after the body."""
     import struct
 
+    made = struct.pack(order + "H", len(fields)) + b"".join(struct.pack(order + "HHI", t, k, 1) + (struct.pack(order + "HH", v, 0) if k == 3 else struct.pack(order + "I", v)) for t, k, v in fields) + b"\0" * 4
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8 + len(body)) + body + made
+
+
+def test_claims_that_do_not_fit_are_errors():
+    page = {256: 2, 257: 2, 258: 8, 259: 1, 273: 8, 278: 2, 279: 4}
+    make = lambda **more: _tiff([(t, 4, v) for t, v in (page | {int(k[1:]): v for k, v in more.items()}).items()], b"abcd")
+    (good,) = tiff.read(make())
+    assert good[6] == b"abcd" and good[7] is None
+    for bad in (make(_278=0), make(_256=0), make(_256=20_000_000, _257=20_000_000), make(_256=20_000_000, _257=20_000_000, _278=20_000_000), make(_322=0, _323=2, _324=8, _325=4), make(_322=1 << 31, _323=1 << 31, _324=8, _325=4), make(_277=0), make(_259=5), make(_259=7)):
+        (row,) = tiff.read(bad)
+        assert row[7] and row[6] is None
+
+
+def test_one_bit_samples():
+    (page,) = tiff.read(_tiff([(256, 3, 10), (257, 3, 2), (258, 3, 1), (259, 3, 1), (273, 4, 8), (278, 3, 2), (279, 4, 4)], bytes([0b10100000, 0b01000000, 0b1, 0b10000000])))
+    assert page[6] == bytes([1, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0]) and page[4] == 1 and page[7] is None
+
+
+def test_feature_is_of_the_samples():
+    flat, rows = tiff.feature(b"\x10" * 64, 8), tiff.feature(bytes([0, 255] * 32), 8)
+    assert flat == "mean 16.00 deviation 0.00 right 0.00 down 0.00 entropy -0.000 bands 1000,0,0,0,0,0,0,0" or "entropy 0.000" in flat
+    assert rows.startswith("mean 127.50 deviation 127.50 right 255.00 down 0.00 entropy 1.000") and rows.endswith("500,0,0,0,0,0,0,500")
+
+
+def test_big_endian_16_bit():
     pixels = np.arange(6, dtype=">u2").reshape(2, 3)
-    fields = [(256, 3, 3), (257, 3, 2), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, 8), (278, 3, 2), (279, 4, 12)]
-    body = pixels.tobytes()
-    directory = struct.pack(">H", len(fields)) + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in fields) + b"\0" * 4
-    (page,) = tiff.read(struct.pack(">2sHI", b"MM", 42, 8 + len(body)) + body + directory)
+    (page,) = tiff.read(_tiff([(256, 3, 3), (257, 3, 2), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, 8), (278, 3, 2), (279, 4, 12)], pixels.tobytes(), ">"))
     assert page[7] is None and np.frombuffer(page[6], "<u2").tolist() == [0, 1, 2, 3, 4, 5]
 
 
@@ -134,7 +160,7 @@ def test_loser_tree_merges_and_knows_prefixes():
 
 
 def test_blocks_round_trip():
-    records = [(b"abcd", b"x", [(1, 2)]), (b"abcd", b"y", [(1, 9), (3, 4)]), (b"abz", b"", [(7, 0)])]
+    records = [(b"abcd", b"x", (1, 2)), (b"abcd", b"y", (3, 4)), (b"abz", b"", (7, 0))]
     assert [r[1:] for r in suffixes._unpack(suffixes._pack(records))] == records
 
 
@@ -156,3 +182,36 @@ def test_line_shingles_are_of_characters():
     data = np.frombuffer("ééaéé".encode(), np.uint8)
     _, at = lines._shingles(data, np.array([0]), np.array([len(data)]), 3)
     assert at.tolist() == [0, 3]
+
+
+def test_long_spans_do_not_collide_by_pattern():
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in thue_morse())
+    h = kernels.span_hashes(np.concatenate([a, b, a]), np.array([0, 1024, 2048]), np.array([1024, 2048, 3072]))
+    assert h[0] == h[2] != h[1]
+    assert kernels.span_hashes(np.tile(a, 3000), np.array([0, 2000 * 1024]), np.array([1024, 2001 * 1024])).tolist() == [h[0]] * 2
+
+
+def test_word_digests():
+    data = np.frombuffer(b" A b\nc   a  B c ab c", np.uint8)
+    d = kernels.word_digests(data, np.array([0, 7, 7, 9, 15, len(data)])).T.tolist()
+    assert d[0] == d[3] != d[4] and d[1] == d[2] != d[0]
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffixes.kernels, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    group = [(0, 4, b"abcdef", b"", (1, 0)), (4, 4, b"abcdxx", b"", (2, 0)), (4, 0, b"abcdzz", b"", (3, 7))]
+    assert sorted(suffixes._marks(group, 4)) == [(2, 0, 4), (3, 7, 11)]
+
+
+def test_labels_few_and_many_give_rules():
+    rng = np.random.default_rng(0)
+    for n in (120, 4000):
+        x = {"a": rng.random(n), "noise": rng.random(n)}
+        bad = (x["a"] > 0.9) | (x["a"] < 0.04)
+        kept = quality.learn(x, bad).predict(x)
+        assert (~kept[bad]).mean() > 0.6 and kept[~bad].mean() > 0.98
+    # a cluster that no rule describes does not end the covering
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    bad = (x["a"] > 0.9) | (rng.random(3000) < 0.05)
+    kept = quality.learn(x, bad).predict(x)
+    assert (~kept[x["a"] > 0.9]).mean() > 0.95 and kept[~bad].mean() > 0.97
