@@ -84,21 +84,30 @@ def filed_date(text: Column, accession: Column, today: Column) -> Column:
 
 
 def company_name(html: Column) -> Column:
-    """Title without its form, meta tags, headings that name no form or date, SEC header lines."""
-    title = F.regexp_replace(first_match(html, [(r"(?is)<title[^>]*>(.*?)</title>", 1)]), r"(?i)\s*[-–]\s*(10-?[KQ]|8-?K).*$", "")
-    heads = F.filter(F.regexp_extract_all(_empty(html), F.lit(r"(?is)<h[12][^>]*>(.*?)</h[12]>"), F.lit(1)), lambda h: ~h.rlike(r"(?i)^\s*(10-[KQ]|8-K|FORM|SEC|FILING|EDGAR)") & ~h.rlike(r"^\s*\d{4}-\d{2}-\d{2}"))
-    meta = first_match(html, [(r"""(?is)<meta[^>]*(?:name|property)=["'](?:company|og:site_name)["'][^>]*content=["']([^"']+)["']""", 1)])
-    header = first_match(html, [(r"COMPANY CONFORMED NAME:[ \t]*([^\n]+)", 1), (r"(?:FILER|COMPANY):[ \t]*([^\n]+)", 1)])
-    best = F.coalesce(F.when(F.length(clean_text(title)) > 3, title), F.nullif(meta, F.lit("")), F.get(heads, 0), F.nullif(header, F.lit("")), F.lit("Unknown Company"))
-    return F.substring(strip_tags(best), 1, 100)
+    """The title without its form; meta tags; elements that name a company, or headings that name no form or date; SEC
+    header lines; else Unknown Company. Cleaned, 100 characters at most."""
+    raw = _empty(html)
+    title = F.regexp_replace(F.trim(F.regexp_extract(raw, vocab.COMPANY_TITLE, 1)), vocab.COMPANY_TITLE_END, "")
+    cleaned = lambda pattern: F.substring(clean_text(F.regexp_extract(raw, pattern, 1)), 1, 100)
+    metas = [F.when(F.length(cleaned(p)) > 3, cleaned(p)) for p in vocab.COMPANY_META]
+    good = lambda t: (F.length(t) > 3) & ~t.rlike(vocab.NO_COMPANY[0]) & ~t.rlike(vocab.NO_COMPANY[1])
+    elements = [F.substring(F.get(F.filter(F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), clean_text), good), 0), 1, 100) for p in vocab.COMPANY_ELEMENTS]
+    headers = [F.nullif(cleaned(p), F.lit("")) for p in vocab.COMPANY_HEADERS]
+    return F.coalesce(F.when(F.length(title) > 3, F.substring(clean_text(title), 1, 100)), *metas, *elements, *headers, F.lit("Unknown Company"))
 
 
 def cik(html: Column) -> Column:
-    """Ten digits after a CIK label, in a meta tag, or in the header; else ten digits that look like one near a label."""
-    head = F.substring(_empty(html), 1, 50_000)
-    loose = F.filter(F.regexp_extract_all(head, F.lit(r"(?is)(?:cik|central.{0,10}index).{0,50}?(\d{10})"), F.lit(1)), lambda d: d.startswith("00") | d.contains("0000"))
-    listed = first_match(html, [(r"(?i)\bCIK\b\W{0,20}(\d{10})", 1), (r"(?i)CENTRAL\s+INDEX\s+KEY\W{0,20}(\d{10})", 1), (r"(?i)C\.I\.K\.\W{0,20}(\d{10})", 1), (r"""(?is)<meta[^>]*cik[^>]*content=["'](\d{10})["']""", 1)])
-    return F.coalesce(F.nullif(listed, F.lit("")), F.get(loose, 0), F.lit(""))
+    """Ten digits after a CIK label or in a meta tag; else the first in the head that look like one and stand near a
+    label."""
+    raw = _empty(html)
+
+    def near_label(d: Column) -> Column:
+        at = F.instr(raw, d)
+        start = F.greatest(at - 50, F.lit(1))
+        return (d.startswith("00") | d.contains("0000")) & F.substring(raw, start, at + 60 - start).rlike(vocab.CIK_CONTEXT)
+
+    loose = F.filter(F.regexp_extract_all(F.substring(raw, 1, 50_000), F.lit(r"\b(\d{10})\b"), F.lit(1)), near_label)
+    return F.coalesce(F.nullif(first_match(html, [(p, 1) for p in vocab.CIK_LABELS]), F.lit("")), F.get(loose, 0), F.lit(""))
 
 
 def safe_float(text: Column) -> Column:

@@ -161,3 +161,31 @@ PLAIN_SECTIONS = [
     (r"ITEM\s+5\.?\s*[:\-]?\s*MARKET", "item_5", "Item 5. Market for Registrant's Common Equity"),
     (r"ITEM\s+6\.?\s*[:\-]?\s*SELECTED", "item_6", "Item 6. Selected Financial Data"),
 ]
+
+# Where a filing's company and its CIK are looked for, in this order.
+COMPANY_TITLE = r"(?is)<title[^>]*>([^<]+)</title>"
+COMPANY_TITLE_END = r"(?i)\s*[-|]\s*(10-[KQ]|8-K|SEC.*?Filing).*$"
+COMPANY_META = [
+    r"""(?i)<meta[^>]*name=["']company["'][^>]*content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]*property=["']og:site_name["'][^>]*content=["']([^"']+)["']""",
+    r"""(?i)<meta[^>]*content=["']([^"']+)["'][^>]*name=["']company["']""",
+]
+COMPANY_ELEMENTS = [
+    r"""(?i)<div[^>]*class=["'][^"']*company[^"']*["'][^>]*>([^<]+)</div>""",
+    r"""(?i)<span[^>]*class=["'][^"']*company[^"']*["'][^>]*>([^<]+)</span>""",
+    r"(?i)<h1[^>]*>([^<]{3,100})</h1>",
+    r"(?i)<h2[^>]*>([^<]{3,100})</h2>",
+]
+NO_COMPANY = [r"(?i)^(10-[KQ]|8-K|FORM|SEC|FILING|EDGAR)", r"^\d{4}-\d{2}-\d{2}"]
+COMPANY_HEADERS = [r"(?i)COMPANY\s+CONFORMED\s+NAME[:\s]+([^\n\r]+)", r"(?i)(?:FILER|COMPANY)[:\s]+([A-Z][A-Z\s&\.,\-]{2,80})"]
+CIK_LABELS = [
+    r"(?i)CIK[:\s]+(\d{10})",
+    r"(?i)CENTRAL\s+INDEX\s+KEY[:\s]+(\d{10})",
+    r"(?i)C\.I\.K\.\s*[:\s]*(\d{10})",
+    r"""(?i)<meta[^>]*name=["']cik["'][^>]*content=["'](\d{10})["']""",
+    r"""(?i)<meta[^>]*content=["'](\d{10})["'][^>]*name=["']cik["']""",
+    r"""(?i)<meta[^>]*property=["']cik["'][^>]*content=["'](\d{10})["']""",
+]
+CIK_CONTEXT = r"(?i)cik|central.*index"
+LAW_TITLES = [(r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1), (r"(?is)<h1[^>]*>\s*(.*?)\s*</h1>", 1), (r"""(?is)<meta[^>]*name=["']title["'][^>]*content=["']([^"']*)["']""", 1)]
+SUMMARY_WORDS = ["summary", "abstract", "overview"]

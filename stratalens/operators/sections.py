@@ -308,6 +308,55 @@ def law_sections(html: str, most: int = 10) -> list[dict]:
     return out[:most] or ([{"section_id": "main", "title": "Main", "text": body[:5000], "word_count": len(body.split())}] if body else [])
 
 
+class _Parents(HTMLParser):
+    """Pieces of text in document order, and for each word of SUMMARY_WORDS the element around the first piece with it."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.open: list[dict] = []
+        self.first: dict[str, dict | None] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in self.VOID:
+            self.open.append({"tag": tag, "from": len(self.pieces), "to": None})
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(e["tag"] == tag for e in self.open):
+            while (e := self.open.pop())["tag"] != tag:
+                e["to"] = len(self.pieces)
+            e["to"] = len(self.pieces)
+
+    def handle_data(self, data: str) -> None:
+        low = data.lower()
+        for word in vocab.SUMMARY_WORDS:
+            if word in low and word not in self.first:
+                self.first[word] = self.open[-1] if self.open else None
+        if data.strip():
+            self.pieces.append(data.strip())
+
+
+def law_summary(html: str) -> str:
+    """The text (500 characters) of the element around the first mention of a summary, an abstract or an overview, the
+    first of these that has more than 100 characters."""
+    parser = _Parents()
+    parser.feed(html)
+    parser.close()
+    for word in vocab.SUMMARY_WORDS:
+        if element := parser.first.get(word):
+            text = "".join(parser.pieces[element["from"] : element["to"]])
+            if len(text) > 100:
+                return text[:500]
+    return ""
+
+
+def summaries(df: DataFrame, keep: list[str], html: str = "content") -> DataFrame:
+    """keep, summary, error of laws."""
+    return _mapped(df, [html], keep, "summary string", lambda text: [{"summary": law_summary(text)}])
+
+
 def xml_sections(xml: str, most: int = 10) -> list[dict]:
     """Elements with more than 100 characters of own text, by place in the tree; HTML rules if it is no XML."""
     try:
@@ -325,7 +374,8 @@ def xml_sections(xml: str, most: int = 10) -> list[dict]:
 def legislation(files: DataFrame) -> DataFrame:
     """files (path, content) to sections of legislation with identifier, type, jurisdiction, confidence, language."""
     c, p = F.col("content"), F.col("path")
-    title = F.coalesce(F.nullif(T.first_match(c, [(r"(?is)<title[^>]*>\s*(.*?)\s*</title>", 1), (r"(?is)<h1[^>]*>\s*(.*?)\s*</h1>", 1)]), F.lit("")), F.regexp_replace(T.base_name(p), r"\.\w+$", ""))
+    named = F.substring(F.trim(F.regexp_replace(T.first_match(c, vocab.LAW_TITLES), "<[^>]+>", "")), 1, 200)
+    title = F.coalesce(F.nullif(named, F.lit("")), F.regexp_replace(T.base_name(p), r"\.(html|xml)", ""))
     where = T.jurisdiction(c, T.base_name(p))
     rows = files.select("path", "content", T.document_kind(p).alias("document_type"), title.alias("title"), T.legislation_identifier(c).alias("_id"), where.alias("_j"), T.language(F.regexp_replace(c, "<[^>]+>", " ")).alias("language"))
     rows = rows.select("path", "content", "document_type", F.col("title").alias("document_title"), "_id.identifier", "_id.type", F.col("_j.jurisdiction").alias("jurisdiction"), F.col("_j.confidence").alias("jurisdiction_confidence"), F.col("_j.method").alias("jurisdiction_method"), "language")

@@ -56,3 +56,29 @@ def test_law_sections_nest():
     html = f"<div><h2>Outer</h2><section><h3>Inner</h3>{'x ' * 150}</section>{'y ' * 60}</div>"
     found = S.law_sections(html)
     assert [(s["section_id"], s["title"], s["word_count"]) for s in found] == [("section_0", "Outer", 210), ("section_1", "Inner", 150)]
+
+
+def test_summary():
+    long = "words " * 30
+    assert S.law_summary(f"<p>Summary</p><div>An abstract of it: {long}</div>") == ("An abstract of it: " + long.strip())[:500]
+    assert S.law_summary("<p>no such thing</p>") == "" == S.law_summary("")
+
+
+def test_company_cascade(spark):
+    from stratalens.functions import text as T
+
+    cases = {
+        "<title>Acme Corp - 10-K 2024</title>": "Acme Corp",
+        "<title>x</title><meta name='company' content='Meta Co'>": "Meta Co",
+        "<meta content='Site Inc' property='x'><meta property='og:site_name' content='Site Inc'>": "Site Inc",
+        "<div class='a company b'>Div Ltd</div>": "Div Ltd",
+        "<h1>FORM 10-K</h1><h1>Heading Plc</h1>": "Heading Plc",
+        "COMPANY CONFORMED NAME:   Header Co\nx": "Header Co",
+        "FILER: OTHER CO, LTD": "OTHER CO, LTD",
+        "": "Unknown Company",
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, h string").select("i", T.company_name(F.col("h")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == list(cases.values())
+    ciks = {"CIK: 0000320193": "0000320193", "central index key 0000320194": "0000320194", "<meta name='cik' content='1234567890'>": "1234567890", "C.I.K. 0000320195": "0000320195", "id 0000320196 is the cik": "0000320196", "tel 0000320197": "", "1234567891 cik": ""}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(ciks)], "i int, h string").select("i", T.cik(F.col("h")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == list(ciks.values())
