@@ -26,8 +26,9 @@ WINDOW, CHUNK = 20, 256
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character at which a window of each class counts as random.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.45, "mixed": 3.75}
-#: Identifiers that look random and are no secrets: UUIDs, content digests with their name, sample credentials.
-ALLOW = [r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)^sha(1|256|384|512)[-_=]", r"(?i)example|sample|dummy|placeholder"]
+#: Identifiers that look random and are no secrets: UUIDs, content digests with their name, sample credentials, and
+#: names of short words and numbers that hyphens or underscores join.
+ALLOW = [r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)^sha(1|256|384|512)[-_=]", r"(?i)example|sample|dummy|placeholder", r"^[A-Za-z]{1,12}([-_]([A-Za-z]{1,12}|[0-9]{1,8}))+$"]
 
 
 def _literal(s: str) -> str:

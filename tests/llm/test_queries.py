@@ -244,6 +244,25 @@ def test_secret_listing(spark, tmp_path):
         assert [got[k][f"n_{n}"] for n in name[:3]] == [sum(s[1] == i for s in base) for i in range(3)]
 
 
+def test_planted_secrets_are_found_and_names_left_alone(spark):
+    """Random credentials without a keyword, against words, numbers, identifiers and allowed strings of the same length."""
+    import random
+    import string
+
+    r = random.Random(12)
+    mixed, one_case = string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits
+    secrets = ["".join(r.choice(a) for _ in range(r.randint(32, 44))) + "7" for a in (mixed, one_case) for _ in range(100)]
+    names = [
+        *["-".join(r.choice(["alpha", "release", "build", "north"]) for _ in range(5)) + "-2024" for _ in range(50)], *["".join(r.choice("ab1") for _ in range(30)) + "1" for _ in range(50)],
+        *[f"{r.getrandbits(32):08x}-{r.getrandbits(16):04x}-4{r.getrandbits(12):03x}-9{r.getrandbits(12):03x}-{r.getrandbits(48):012x}" for _ in range(50)], *["example-" + "".join(r.choice(mixed) for _ in range(30)) for _ in range(50)],
+    ]
+    rows = [(i, f"we keep {t} somewhere") for i, t in enumerate(secrets + names)]
+    got = by_key(secretscan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    found = {k for k, x in got.items() if x.entropy or x.assign or x.access or x.hex}
+    assert len(found & set(range(len(secrets)))) >= 0.97 * len(secrets)
+    assert not [rows[k] for k in found if k >= len(secrets) and not got[k].hex]
+
+
 def test_entropy_window_is_exact(spark):
     import math
     import random
