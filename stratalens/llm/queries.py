@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import sql as twins
-from stratalens.llm import lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
+from stratalens.llm import clusters, conversations, lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
 from stratalens.llm.cut import cut
 
 
@@ -72,12 +74,27 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids, sums = clusters.cluster(_read(spark, sf_dir, "embeddings"))
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    per = [(k, sums.get(k, (0, 0))[1], digest[k]) for k in range(len(centroids))]
+    whole = sum(far for _, far, _ in per)
+    told = lambda n: F.lit(n if n < 1 << 63 else None).cast("bigint")
+    of = lambda values: F.get(F.array(*values), F.col("cluster")) if values else F.lit(None)
+    return placed.select("vec_id", "cluster", "distance", of([told(far) for _, far, _ in per]).cast("bigint").alias("cluster_inertia"), told(whole).alias("inertia"), of([F.lit(d) for *_, d in per]).cast("string").alias("centroid_sha256"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = conversations.damaged(_read(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(hurt, copies="copies")).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict:
-    found = [op1_urls, op2_suffixes, op3_tiff, op4_lines, op5_packing, op6_quality, op7_neardup, op8_secrets, op9_warc, op10_mixing]
+    found = [op1_urls, op2_suffixes, op3_tiff, op4_lines, op5_packing, op6_quality, op7_neardup, op8_secrets, op9_warc, op10_mixing, op12_centroids, op13_conversations]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Of the others no SQL can give the rows: they hold hashes of written files, learned rules, entropy windows, Java
     hash orders or linear programs. Tests hold them against brute force."""
-    return {"op1_urls": twins.urls(RULES), "op2_suffixes": twins.suffixes(), "op4_lines": twins.lines(), "op7_neardup": twins.neardup(), "op9_warc": twins.warc()}
+    return {"op1_urls": twins.urls(RULES), "op2_suffixes": twins.suffixes(), "op4_lines": twins.lines(), "op7_neardup": twins.neardup(), "op9_warc": twins.warc(), "op12_centroids": twins.centroids(), "op13_conversations": twins.conversations()}

@@ -101,3 +101,66 @@ def warc() -> str:
     base32 = f"array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(sha1(p), CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)), lambda v: {' || '.join(five(s) for s in (15, 10, 5, 0))}), '')"
     return f"""WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), r AS (SELECT page_id, p, {base32} AS payload_digest, max(page_id) OVER (PARTITION BY p) AS first FROM d)
 SELECT page_id, CAST(octet_length(p) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM r"""
+
+
+def centroids(clusters: int = 40, rounds: int = 5, components: int = 64, scale: int = 256, seed: str = "2") -> str:
+    """Rounds of assignment and exact floor means, one after another; integers of 128 bits throughout."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS HUGEINT)) AS q FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), q) - 1 AS k, q FROM v WHERE vec_id IS NOT NULL ORDER BY k LIMIT {clusters})",
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, any_value(vq) AS q, min({{d: d, k: k}}) AS b FROM (SELECT v.n, v.vec_id, v.q AS vq, CAST({far} AS HUGEINT) AS d, c.k FROM v, c{r} c) GROUP BY n)")
+        if r < rounds:
+            floor = "(s - ((s % m) + m) % m) // m"
+            sums = f"SELECT b.k AS k, i, sum(q[i]) AS s, CAST(count(*) AS HUGEINT) AS m FROM a{r}, range(1, {components + 1}) t(i) GROUP BY 1, 2"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(x.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT k, list(CAST({floor} AS HUGEINT) ORDER BY i) AS q FROM ({sums}) GROUP BY k) x USING (k))")
+    digest = "sha256(array_to_string(list_transform(c.q, lambda x: CAST(x AS VARCHAR)), ','))"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, CAST(a.b.k AS INTEGER) AS cluster, CAST(a.b.d AS BIGINT) AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, {digest} AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.b.k = c.k"""
+
+
+_CRC32 = """bytes(i, n, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM bytes WHERE n < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS crcs FROM bytes WHERE n = 8)"""
+
+
+def _crc32(string: str) -> str:
+    """CRC-32 of an ASCII string, which DuckDB lacks: by the table of bytes in crc."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({string}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def conversations() -> str:
+    """Turn by turn the least (cost, audit) for each role of the last retained turn, and what that way has written."""
+    between = {("e", "s"): "", ("e", "u"): "", ("e", "a"): "u", ("s", "u"): "", ("s", "a"): "u", ("u", "u"): "a", ("u", "a"): "", ("a", "u"): "", ("a", "a"): "u"}
+    ending = {"e": "", "s": "ua", "u": "a", "a": ""}
+    role = {"u": "user", "a": "assistant"}
+    line = lambda roles: "".join(f"chr(10) || '{role[r]}:' || " for r in roles)
+
+    def step(to: str) -> str:
+        ways = [f"{{c: r.{to}.c + 3, a: r.{to}.a || 'D', t: r.{to}.t}}"]
+        for (p, q), missing in between.items():
+            if q == to:
+                own = f"q.i = '{to}'"
+                may = own if to == "s" else "true"
+                cost = f"CASE WHEN q.gone OR NOT ({may}) THEN 1000000000 ELSE r.{p}.c + {2 * len(missing)} + q.cut + CASE WHEN {own} THEN 0 ELSE 2 END END"
+                ways.append(f"{{c: {cost}, a: r.{p}.a || '{'I' * len(missing)}' || CASE WHEN {own} THEN 'K' ELSE 'R' END, t: r.{p}.t || {line(missing)} chr(10) || CASE WHEN {own} THEN q.role ELSE '{role.get(to, '')}' END || ':' || q.text}}")
+        return f"list_min([{', '.join(ways)}]) AS {to}" if len(ways) > 1 else f"{ways[0]} AS {to}"
+
+    none = "{c: 1000000000::BIGINT, a: '', t: ''}"
+    last = ", ".join(f"{{c: r.{p}.c + {2 * len(x)}, a: r.{p}.a || '{'I' * len(x)}', t: r.{p}.t || {line(x)} ''}}" for p, x in ending.items())
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE {_CRC32},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k <= 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hit, range(2) c(n) WHERE n < CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+seq AS (SELECT *, left(role, 1) AS i, rtrim(text, {space}) AS trimmed, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM hurt),
+old AS (SELECT *, j > min(j) OVER (PARTITION BY conv_id, role, text) AS again FROM seq),
+q AS MATERIALIZED (SELECT *, trimmed = '' OR again AS gone, CASE WHEN trimmed != '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut, coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY j) || i NOT IN ('su', 'ua', 'au'), false) AS odd FROM old),
+facts AS (SELECT c.conv_id, count(q.j) AS n, coalesce(max(q.turn) - min(q.turn) + 1 - count(DISTINCT q.turn), 0) AS gaps, count(*) FILTER (WHERE q.trimmed = '') AS blank, count(*) FILTER (WHERE q.trimmed != '' AND q.again) AS duplicate, coalesce(sum(q.cut), 0) AS truncated, count(*) FILTER (WHERE q.odd) AS illegal FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN q ON c.conv_id IS NOT DISTINCT FROM q.conv_id GROUP BY c.conv_id),
+r(conv_id, j, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{c: 0::BIGINT, a: '', t: ''}}, {none}, {none}, {none} FROM facts
+  UNION ALL SELECT r.conv_id, q.j, {step('e')}, {step('s')}, {step('u')}, {step('a')} FROM r JOIN q ON r.conv_id IS NOT DISTINCT FROM q.conv_id AND q.j = r.j + 1),
+done AS (SELECT f.*, list_min([{last}]) AS best FROM r JOIN facts f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.j = f.n)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated, CAST(illegal AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256 FROM done"""

@@ -382,7 +382,7 @@ def test_op6_is_brute_force(spark):
 def test_same_rows_as_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     twin = con.sql(Q.oracle_sql()[name])
     got = Q.queries()[name](spark, sf)
