@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import sql as twins
-from stratalens.llm import clusters, conversations, lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
+from stratalens.llm import clusters, conversations, katz, lines, mixing, neardup, packing, quality, secretscan, suffixes, tiff, urls, warc
 from stratalens.llm.cut import cut
 
 
@@ -74,6 +74,11 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return katz.score(_read(spark, sf_dir, "documents"), held_out=held_out)[0]
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, centroids, sums = clusters.cluster(_read(spark, sf_dir, "embeddings"))
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
@@ -90,7 +95,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_urls, op2_suffixes, op3_tiff, op4_lines, op5_packing, op6_quality, op7_neardup, op8_secrets, op9_warc, op10_mixing, op12_centroids, op13_conversations]
+    found = [op1_urls, op2_suffixes, op3_tiff, op4_lines, op5_packing, op6_quality, op7_neardup, op8_secrets, op9_warc, op10_mixing, op11_katz, op12_centroids, op13_conversations]
     return {f.__name__: f for f in found}
 
 
