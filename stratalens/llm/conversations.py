@@ -331,10 +331,16 @@ def repair(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn",
     often a row stands (rows that repeat count as well; null: once); a conversation of whose rows all have 0 copies
     gives a piece without turns. A piece has at most `most` turns. Texts are never cut. Other columns are not read. An empty table: no rows.
     """
+    whole, several = repaired_pieces(df, conversation=conversation, turn=turn, role=role, text=text, copies=copies, most=most)
+    return whole.unionByName(several)
+
+
+def repaired_pieces(df: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: str | None = None, most: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """What repair() gives, apart: conversations of one piece, and those that may have several."""
     table = cut(pieces(df, conversation=conversation, turn=turn, role=role, text=text, copies=copies, most=most), "conversation-pieces")
     spread = cut(_seen(table.where("NOT alone")), "conversation-spread")
     ways = cut(_folded(_matrices(spread)), "conversation-ways")
-    return _settled(table.where("alone")).unionByName(_settled(spread.join(ways, ["part", "piece"])))
+    return _settled(table.where("alone")), _settled(spread.join(ways, ["part", "piece"]))
 
 
 def turns(repaired: DataFrame) -> DataFrame:
@@ -342,13 +348,14 @@ def turns(repaired: DataFrame) -> DataFrame:
     return repaired.select("conv", "part", "piece", F.posexplode("repaired").alias("pos", "turn")).select("conv", "part", "piece", "pos", "turn.role", "turn.text")
 
 
-def digests(repaired: DataFrame) -> DataFrame:
-    """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation.
+def digests(whole: DataFrame, several: DataFrame) -> DataFrame:
+    """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation
+    of repaired_pieces().
 
     The hash of a conversation's `role:text` lines needs them in order: pieces of one that has several come to one
     task, as a sorted stream, of which only the hash, the counts and the audit are held. Nothing else is shuffled.
     """
-    kind = T.StructType([repaired.schema["conv"], *_fields("gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string")])
+    kind = T.StructType([whole.schema["conv"], *_fields("gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict | None = None
@@ -383,5 +390,5 @@ def digests(repaired: DataFrame) -> DataFrame:
         if now:
             yield from table([now])
 
-    several = repaired.where("NOT alone").repartition("conv").sortWithinPartitions("conv", "part", "piece")
-    return repaired.where("alone").mapInArrow(read, kind).unionByName(several.mapInArrow(read, kind))
+    ordered = several.repartition("conv").sortWithinPartitions("conv", "part", "piece")
+    return whole.mapInArrow(read, kind).unionByName(ordered.mapInArrow(read, kind))

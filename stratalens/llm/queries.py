@@ -91,7 +91,7 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hurt = conversations.damaged(_read(spark, sf_dir, "conversations"))
-    return conversations.digests(conversations.repair(hurt, copies="copies")).withColumnRenamed("conv", "conv_id")
+    return conversations.digests(*conversations.repaired_pieces(hurt, copies="copies")).withColumnRenamed("conv", "conv_id")
 
 
 def queries() -> dict:

@@ -153,7 +153,7 @@ def test_conversations_cut_in_pieces_come_out_the_same(spark, most):
     rows = [(*x, 1 if i % 2 else None) for i, x in enumerate(rows)] + [(77, 3, "user", "gone", "clash", 1, 0), (1, 9, "user", "gone", "clash", 1, 0)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, conv string, part int, copies int").repartition(7)
     repaired = conversations.repair(df, copies="copies", most=most)
-    got = {x.conv: tuple(x)[1:] for x in conversations.digests(repaired).collect()}
+    got = {x.conv: tuple(x)[1:] for x in conversations.digests(*conversations.repaired_pieces(df, copies="copies", most=most)).collect()}
     assert got == {c: _whole(xs) for c, xs in convs.items() if xs} | {77: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
     kept = conversations.turns(repaired).where("conv = 8").orderBy("part", "piece", "pos").collect()
     assert hashlib.sha256("\n".join(f"{x.role}:{x.text}" for x in kept).encode()).hexdigest() == got[8][-1]
@@ -172,9 +172,9 @@ def test_damage(spark):
         want.append((c, t, "user" if k == 4 else role, "" if k <= 1 else "One Two" if k == 2 else text, {0: 0, 3: 2}.get(k, 1)))
     assert got == sorted(want) and {x[4] for x in got} == {0, 1, 2}
     assert {x.text for x in conversations.damaged(df).where("turn IS NULL").collect()} <= {" ", ""}
-    out = conversations.digests(conversations.repair(conversations.damaged(df), copies="copies"))
+    out = conversations.digests(*conversations.repaired_pieces(conversations.damaged(df), copies="copies"))
     assert {x.conv for x in out.collect()} == {*range(30), None, 200}
-    assert conversations.digests(conversations.repair(df.limit(0))).count() == 0
+    assert conversations.digests(*conversations.repaired_pieces(df.limit(0))).count() == 0
 
 
 @pytest.mark.parametrize("name", ["op12_centroids", "op13_conversations"])
@@ -192,5 +192,5 @@ def test_same_rows_as_sql(spark, sf, name):
 def test_a_text_of_a_megabyte_is_one_turn(spark):
     long = "word " * 200_000 + "end."
     df = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", "Ok."), (1, 3, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
-    row = conversations.digests(conversations.repair(df)).select(F.col("cost"), F.col("audit")).first()
+    row = conversations.digests(*conversations.repaired_pieces(df)).select(F.col("cost"), F.col("audit")).first()
     assert tuple(row) == (2, "KKIK")
