@@ -52,9 +52,13 @@ def timeline(filings: DataFrame) -> DataFrame:
 def entities(sections: DataFrame) -> DataFrame:
     """(ticker, category, value): countries, operations and, from sections on risk, risk types. Distinct."""
     risky = F.lower(F.coalesce("title", F.lit(""))).contains("risk")
-    none = F.array().cast("array<string>")
-    found = F.map_from_arrays(F.array(F.lit("countries"), F.lit("operations"), F.lit("risk_types")), F.array(tags.labels(F.col("text"), vocab.FILING_COUNTRIES), tags.labels(F.col("text"), vocab.FILING_OPERATIONS), F.when(risky, tags.labels(F.col("text"), vocab.FILING_RISKS)).otherwise(none)))
-    return sections.select("ticker", F.explode(found).alias("category", "values")).select("ticker", "category", F.explode("values").alias("value")).distinct()
+    names = tags.labels_of(F.col("text"), {"countries": vocab.FILING_COUNTRIES, "operations": vocab.FILING_OPERATIONS, "risk_types": vocab.FILING_RISKS})
+    rows = sections.select("ticker", risky.alias("_risky"), names.alias("_n"))
+    found = F.map_from_arrays(
+        F.array(*map(F.lit, ("countries", "operations", "risk_types"))),
+        F.array("_n.countries", "_n.operations", F.when(F.col("_risky"), F.col("_n.risk_types")).otherwise(F.array().cast("array<string>"))),
+    )
+    return rows.select("ticker", F.explode(found).alias("category", "values")).select("ticker", "category", F.explode("values").alias("value")).distinct()
 
 
 def with_defaults(companies: DataFrame, view: DataFrame) -> DataFrame:

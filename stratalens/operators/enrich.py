@@ -69,15 +69,18 @@ def filing_chunks(chunks: DataFrame, knowledge: DataFrame) -> DataFrame:
     k = knowledge.select("ticker", "company", "sector", F.col("regions").alias("_r"), F.col("operations").alias("_o"), F.col("risk_types").alias("_k"))
     none = F.array().cast("array<string>")
     unite = lambda known, found: F.array_sort(F.array_union(F.coalesce(known, none), found))
-    t = F.col("text")
+    t, found = F.col("text"), lambda name: F.col(f"_found.{name}")
+    named = tags.labels_of(t, {"regions": vocab.REGIONS, "operations": vocab.OPERATIONS, "risk_types": vocab.RISKS})
     header = F.concat_ws(
         "\n", F.lit("[CONTEXT]"), F.when(F.col("ticker") != "", F.concat(F.lit("COMPANY: "), F.coalesce("company", F.lit("")), F.lit(" ("), F.col("ticker"), F.lit(")"))), _line("SECTOR", F.col("sector")), _line("SECTION", F.col("section_title")),
-        _line("REGIONS_MENTIONED", _listed(unite(F.col("_r"), tags.labels(t, vocab.REGIONS)))), _line("OPERATIONS", _listed(unite(F.col("_o"), tags.labels(t, vocab.OPERATIONS)))), _line("RISK_TYPES", _listed(unite(F.col("_k"), tags.labels(t, vocab.RISKS)))),
+        _line("REGIONS_MENTIONED", _listed(unite(F.col("_r"), found("regions")))), _line("OPERATIONS", _listed(unite(F.col("_o"), found("operations")))), _line("RISK_TYPES", _listed(unite(F.col("_k"), found("risk_types")))),
     )
-    return chunks.join(k, "ticker", "left").withColumn("enriched_text", F.concat(header, F.lit("\n\n[CONTENT]\n"), t)).drop("_r", "_o", "_k", "company", "sector")
+    rows = chunks.withColumn("_found", named).join(k, "ticker", "left").withColumn("enriched_text", F.concat(header, F.lit("\n\n[CONTENT]\n"), t))
+    return rows.drop("_found", "_r", "_o", "_k", "company", "sector")
 
 
 def regulation_text(text: Column, jurisdiction: Column, kind: Column, identifier: Column) -> Column:
-    lines = [_line("JURISDICTION", jurisdiction), _line("REGULATION_TYPE", kind), _line("REGULATION_ID", identifier), _line("AFFECTED_REGIONS", _listed(tags.labels(text, vocab.REGIONS))), _line("AFFECTED_AREAS", _listed(tags.labels(text, vocab.AREAS)))]
+    named = tags.labels_of(text, {"regions": vocab.REGIONS, "areas": vocab.AREAS})
+    lines = [_line("JURISDICTION", jurisdiction), _line("REGULATION_TYPE", kind), _line("REGULATION_ID", identifier), _line("AFFECTED_REGIONS", _listed(named["regions"])), _line("AFFECTED_AREAS", _listed(named["areas"]))]
     header = F.concat_ws("\n", *lines)
     return F.when(header == "", text).otherwise(F.concat(F.lit("[CONTEXT]\n"), header, F.lit("\n\n[CONTENT]\n"), text))

@@ -25,7 +25,8 @@ def merge(old: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
 
 def from_sections(sections: DataFrame) -> DataFrame:
     """Knowledge that sections (ticker, text, source_file) give: distinct labels a company."""
-    found = sections.select("ticker", "source_file", *[tags.labels(F.col("text"), v).alias(c) for c, v in (("regions", vocab.REGIONS), ("operations", vocab.OPERATIONS), ("risk_types", vocab.RISKS))])
+    named = tags.labels_of(F.col("text"), {"regions": vocab.REGIONS, "operations": vocab.OPERATIONS, "risk_types": vocab.RISKS})
+    found = sections.select("ticker", "source_file", named.alias("_n")).select("ticker", "source_file", "_n.*")
     flat = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("regions", "operations", "risk_types")]
     return found.groupBy("ticker").agg(F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("sector"), *flat, _none().alias("keywords"), F.array_sort(F.collect_set("source_file")).alias("sources"))
 
@@ -33,8 +34,11 @@ def from_sections(sections: DataFrame) -> DataFrame:
 def from_profiles(profiles: DataFrame) -> DataFrame:
     """Providers' rows (ticker, rank, company, sector, country, summary): each field from the best provider that has it."""
     best = best_fields(profiles, ["company", "sector", "country", "summary"])
-    regions = F.array_distinct(F.concat(F.when(F.coalesce("country", F.lit("")) != "", F.array(F.when(F.upper("country").isin("US", "USA"), "United States").otherwise(F.col("country")))).otherwise(_none()), tags.labels(F.col("summary"), vocab.PROFILE_REGIONS)))
-    return best.select("ticker", "company", "sector", F.array_sort(regions).alias("regions"), tags.labels(F.col("summary"), vocab.PROFILE_OPERATIONS).alias("operations"), tags.labels(F.col("summary"), vocab.PROFILE_RISKS).alias("risk_types"), _none().alias("keywords"), F.array(F.lit("profile")).alias("sources"))
+    named = tags.labels_of(F.col("summary"), {"regions": vocab.PROFILE_REGIONS, "operations": vocab.PROFILE_OPERATIONS, "risk_types": vocab.PROFILE_RISKS})
+    best = best.withColumn("_n", named)
+    home = F.when(F.upper("country").isin("US", "USA"), "United States").otherwise(F.col("country"))
+    regions = F.array_distinct(F.concat(F.when(F.coalesce("country", F.lit("")) != "", F.array(home)).otherwise(_none()), F.col("_n.regions")))
+    return best.select("ticker", "company", "sector", F.array_sort(regions).alias("regions"), "_n.operations", "_n.risk_types", _none().alias("keywords"), F.array(F.lit("profile")).alias("sources"))
 
 
 def search(knowledge: DataFrame, region: str | None = None, operation: str | None = None, risk: str | None = None, sector: str | None = None) -> DataFrame:

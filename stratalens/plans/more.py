@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,14 @@ from stratalens.functions import tags, vocab
 from stratalens.functions import text as T
 from stratalens.operators import aggregate as A
 from stratalens.operators import chunks as C
-from stratalens.operators import documents, enrich, impact, search, service
+from stratalens.operators import documents, enrich, impact, search, service, vectors
 from stratalens.operators import graph as G
 from stratalens.operators import knowledge as K
 from stratalens.plans import prose as P
 from stratalens.plans import views as V
-from stratalens.sources import readers, sinks
+from stratalens.sources import readers, sinks, tables
+from stratalens.sources.tables import shared
+from stratalens.streaming import latest, streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -91,8 +94,19 @@ def kg_edges_pattern(spark, sf_dir):
 
 @query(f"WITH {P.PROSE} SELECT doc_id, array_to_string({P.labels('text', vocab.AREAS)}, '|') AS areas, array_to_string({P.labels('text', vocab.PROFILE_RISKS)}, '|') AS risks FROM prose")
 def vocabulary_labels(spark, sf_dir):
-    f = P.filings(spark, sf_dir)
-    return f.select("doc_id", _joined(tags.labels(F.col("text"), vocab.AREAS)).alias("areas"), _joined(tags.labels(F.col("text"), vocab.PROFILE_RISKS)).alias("risks"))
+    named = tags.labels_of(F.col("text"), {"areas": vocab.AREAS, "risks": vocab.PROFILE_RISKS})
+    return P.filings(spark, sf_dir).select("doc_id", named.alias("n")).select("doc_id", _joined(F.col("n.areas")).alias("areas"), _joined(F.col("n.risks")).alias("risks"))
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^\\s]{6,}'))) AS w FROM benchmark),
+h AS (SELECT doc_id, w FROM (SELECT doc_id, lower(text) AS low FROM documents) d JOIN w ON contains(low, w))
+SELECT d.doc_id, count(h.w) AS n, md5(coalesce(string_agg(h.w, '|' ORDER BY encode(h.w)), '')) AS digest FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id""")
+def dictionary_labels(spark, sf_dir):
+    """A dictionary of more than a thousand keywords, the long words of the benchmark's items: texts are read once."""
+    words = V.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\s]{6,}"), F.lit(0))).alias("w")).distinct()
+    vocabulary = {r["w"]: [r["w"]] for r in words.collect()}  # a dictionary: as many as the benchmark's words, whatever the texts
+    found = V.table(spark, sf_dir, "documents").select("doc_id", tags.labels(F.col("text"), vocabulary).alias("l"))
+    return found.select("doc_id", F.size("l").cast("bigint").alias("n"), F.md5(_joined(F.col("l"))).alias("digest"))
 
 
 _WORDS = {"en": ["the", "and", "of", "to", "in"], "fr": ["le", "la", "les", "des", "et"], "de": ["der", "die", "und", "das", "den"], "es": ["el", "los", "las", "que", "y"]}
@@ -114,6 +128,60 @@ def word_pack_chunks(spark, sf_dir):
     return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), F.md5("chunk_text").alias("digest"))
 
 
+# vectors ----------------------------------------------------------------------------------------------------------------
+
+_PAIRS = """p AS (SELECT q.vec_id AS query, e.vec_id AS key, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity, q.label AS asked FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"""
+
+
+def _search(spark, sf_dir, label: str | None) -> DataFrame:
+    e = V.table(spark, sf_dir, "embeddings")
+    index = vectors.build(e, f"{shared(spark)}/vectors-{uuid.uuid4().hex}", label=label)
+    found = vectors.search(index, e.where("vec_id % 50 = 0"), 10, label=label)
+    return found.select("query", "rank", _r(F.col("similarity")).alias("similarity"))
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS rank FROM p) SELECT query, CAST(rank AS INTEGER) AS rank, similarity FROM r WHERE rank <= 10")
+def indexed_topk(spark, sf_dir):
+    """The ten vectors nearest to each fiftieth one, by the index; every vector is indexed."""
+    return _search(spark, sf_dir, None)
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS rank FROM p WHERE label = asked) SELECT query, CAST(rank AS INTEGER) AS rank, similarity FROM r WHERE rank <= 10")
+def indexed_topk_in_label(spark, sf_dir):
+    """The same among vectors of the query's own label."""
+    return _search(spark, sf_dir, "label")
+
+
+# stored tables and streams ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT coalesce(source, '-') AS source, CASE WHEN lang IN ('de', 'fr') THEN coalesce(md5(text), 'none') ELSE lang END AS lang FROM documents)
+SELECT source, count(*) AS n, md5(string_agg(lang, ',' ORDER BY lang)) AS langs, (SELECT count(*) FROM documents WHERE source = 's1') AS deleted, (SELECT count(*) FROM documents WHERE lang IN ('de', 'fr')) AS filled FROM d WHERE source <> 's1' GROUP BY source""")
+def stored_maintenance(spark, sf_dir):
+    """Documents in a stored table by source: missing values filled, one source deleted, and both counted."""
+    table = tables.Table(spark, f"{shared(spark)}/stored-{uuid.uuid4().hex}", "doc_id bigint, source string, text string, lang string", "source")
+    table.append(V.table(spark, sf_dir, "documents").withColumn("lang", F.when(~F.col("lang").isin("de", "fr"), F.col("lang"))))
+    filled = table.fill("lang", F.coalesce(F.md5("text"), F.lit("none")))
+    deleted = table.delete(F.col("source") == "s1", ["s1"])
+    rows = table.read().groupBy(F.coalesce("source", F.lit("-")).alias("source")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("lang")), ",")).alias("langs"))
+    return rows.withColumn("deleted", F.lit(deleted).cast("bigint")).withColumn("filled", F.lit(filled).cast("bigint"))
+
+
+@query("""SELECT 'U' || CAST(user_id % 200 AS VARCHAR) AS ticker, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS filing_date, arg_max(lpad(CAST(event_id AS VARCHAR), 12, '0'), CAST(CAST(ts AS DATE) AS VARCHAR) || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS source_file,
+ arg_max(event_type, CAST(CAST(ts AS DATE) AS VARCHAR) || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS filing_type, count(*) AS n_filings FROM events GROUP BY 1""")
+def latest_state(spark, sf_dir):
+    """A stream of events as filings: each user's latest one, kept as state, stored batch by batch."""
+    root = f"{shared(spark)}/latest-{uuid.uuid4().hex}"
+    table = tables.Table(spark, f"{root}/rows", f"{latest.OUT}, batch bigint", "status")
+    events = streams.event_stream(spark, f"{sf_dir}/events*.parquet")
+    filings = events.select(F.concat(F.lit("U"), (F.col("user_id") % 200).cast("string")).alias("ticker"), F.to_date("ts").alias("filing_date"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("source_file"), F.col("event_type").alias("filing_type"), F.col("ts").alias("arrived"))
+    with latest.state_store(spark):
+        rows = latest.latest_filings(filings, 400 * 86_400).writeStream.outputMode("update")
+        rows.foreachBatch(lambda df, n: table.append(df.withColumn("batch", F.lit(n)), ("latest", n)) and None).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = table.read().where("status = 'latest'").groupBy("ticker").agg(F.max_by(F.struct("filing_date", "source_file", "filing_type", "n_filings"), "batch").alias("l"))
+    return last.select("ticker", F.col("l.filing_date").cast("string").alias("filing_date"), "l.source_file", "l.filing_type", "l.n_filings")
+
+
 # graph ------------------------------------------------------------------------------------------------------------------
 
 

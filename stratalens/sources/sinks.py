@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.operators import chunks as C
 from stratalens.operators import graph as G
+from stratalens.sources.tables import Table
 
 
 def documents(df: DataFrame, path: str) -> None:
@@ -15,7 +18,7 @@ def documents(df: DataFrame, path: str) -> None:
 
 def companies(df: DataFrame, path: str) -> None:
     """By ticker; only the tickers at hand are overwritten."""
-    dealt = df.repartition("ticker")  # a file a ticker, not one a ticker and task; adaptive execution splits large ones
+    dealt = df.hint("rebalance", "ticker")  # a few files a ticker, not one a ticker and task: large tickers are split
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
 
 
@@ -43,6 +46,25 @@ def without_company(df: DataFrame, ticker: str) -> DataFrame:
     return df.where(~F.col("ticker").eqNullSafe(ticker))
 
 
+CHUNKS = "id string, company_name string, filing_type string, filing_date date, section_type string, section_title string, sentence_idx int, text string, embedding array<float>, ticker string"
+
+
+def chunk_table(spark: SparkSession, path: str) -> Table:
+    """The stored table of chunks, in partitions by ticker."""
+    return Table(spark, path, CHUNKS, "ticker")
+
+
+def fill_stored_embeddings(table: Table, embed: Callable[[Column], Column], ticker: str | None = None) -> int:
+    """Vectors for the stored chunks that have none (of one ticker, if given); returns how many. Only partitions with
+    such chunks are written anew; until the commit, and if a task fails, readers see the old ones."""
+    return table.fill("embedding", embed(F.col("text")).cast("array<float>"), None if ticker is None else [ticker])
+
+
+def delete_company(table: Table, ticker: str) -> int:
+    """The stored chunks of a company go; returns how many there were."""
+    return table.delete(F.col("ticker").eqNullSafe(ticker), [ticker])
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, form: str) -> bool:
     """json, csv or cypher; False for another format."""
     if form == "json":

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stratalens.sources.tables import Table
+
 
 def arriving_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of files as they arrive below path."""
@@ -16,10 +18,51 @@ def arriving_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
 
 
 def on_arrival(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Every file that is new goes to handle, once; what is done is kept in the checkpoint."""
+    """Every file that is new goes to handle, at least once: a batch that was under way when the stream stopped comes
+    again, with its number. stored() and ingest() count such a batch once."""
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored(stream: DataFrame, table: Table, name: str, checkpoint: str) -> StreamingQuery:
+    """The stream's rows in a stored table, each once: the table's commit holds the number of the last batch of the
+    sink `name`, and a batch that is there is skipped. A new checkpoint begins its numbers anew and needs a new name."""
+    return on_arrival(stream, lambda rows, batch: _once(table, rows, name, batch), checkpoint)
+
+
+def _once(table: Table, rows: DataFrame, name: str, batch: int) -> int:
+    return table.append(rows, (name, batch))
+
+
+STATUS = "path string, status string, error string, rows bigint, batch bigint"
+
+
+def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], table: Table, status: Table, name: str, checkpoint: str) -> StreamingQuery:
+    """Files (path, content) that arrive, parsed to the table's rows, and a row of the status table for each file.
+
+    parse: files to rows (path, error, the table's columns); rows with an error are not
+    stored and make the file `failed`, a file of which no row comes is `empty`
+    (Spark passes over files of no bytes), others are `processed`. Table and
+    status take a batch once each, so a stop between the two is made good when the batch comes again.
+    """
+
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        batch_rows = batch_rows.persist()
+        try:
+            parsed = parse(batch_rows).persist()
+            try:
+                _once(table, parsed.where("error IS NULL"), name, batch)
+                facts = parsed.groupBy("path").agg(F.min("error").alias("error"), F.count_if(F.col("error").isNull()).alias("rows"))
+                kind = F.when(F.col("error").isNotNull(), "failed").when(F.coalesce("rows", F.lit(0)) == 0, "empty").otherwise("processed")
+                said = batch_rows.select("path").join(facts, "path", "left").select("path", kind.alias("status"), "error", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(batch).cast("bigint").alias("batch"))
+                _once(status, said, name, batch)
+            finally:
+                parsed.unpersist()
+        finally:
+            batch_rows.unpersist()
+
+    return on_arrival(files, handle, checkpoint)
+
+
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
