@@ -37,10 +37,11 @@ class Matcher:
         import ahocorasick
 
         self.whole_words, self.found = whole_words, {}
-        self.bits = [(name, label) for name, v in vocabularies.items() for label in _table(v)]
+        entries = [(name, label, words) for name, v in vocabularies.items() for label, words in _table(v).items()]
+        self.bits = [(name, label) for name, label, _ in entries]
         masks: dict[str, int] = {}
-        for i, (name, label) in enumerate(self.bits):
-            for word in _table(vocabularies[name])[label]:
+        for i, (*_, words) in enumerate(entries):
+            for word in words:
                 if word:
                     masks[word.lower()] = masks.get(word.lower(), 0) | 1 << i
         self.names = list(vocabularies)
