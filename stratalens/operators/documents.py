@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.functions import lemmas
 from stratalens.functions import text as T
 from stratalens.operators import chunks, enrich
 
 
-def process(sections: DataFrame, keep: list[str], knowledge: DataFrame | None = None, size: int = 512, overlap: int = 50, last: Callable[[Column], Column] | None = None) -> DataFrame:
+def process(sections: DataFrame, keep: list[str], knowledge: DataFrame | None = None, size: int = 512, overlap: int = 50, last: Callable[[Column], Column] | None = None, lemmatise: bool = False, stop_words: Sequence[str] = ()) -> DataFrame:
     """keep, section_title and chunks of sections (title, text, document_type, ticker): markup out and text cleaned,
     filings with the context of their company, regulations with theirs (jurisdiction, type, identifier), white space
-    normalised, a last step if one is given (stop words, lemmas), then cut.
+    normalised, words replaced by their lemmas without stop words if asked for, a last step if one is given, then cut.
 
     knowledge: what enrich.filing_chunks() asks for; without it, nothing is enriched.
     """
@@ -27,6 +28,7 @@ def process(sections: DataFrame, keep: list[str], knowledge: DataFrame | None =
         enriched = F.when(kind == "html_filing", F.col("enriched_text")).when(kind == "html_legislation", regulation).otherwise(F.col("text"))
         rows = rows.withColumn("text", enriched).drop("enriched_text")
     text = T.normalize(F.col("text"))
+    text = lemmas.lemmas(text, stop_words) if lemmatise else text
     rows = rows.withColumn("text", last(text) if last else text)
     return chunks.split_chunks(rows.select(*keep, "section_title", "text"), [*keep, "section_title"], size=size, overlap=overlap)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import vocab
+from stratalens.sources.tables import shared
 
 RELATION_OF = {"regions": "OPERATES_IN_REGION", "countries": "OPERATES_IN", "operations": "HAS_OPERATION", "risk_types": "HAS_RISK_TYPE"}
 
@@ -99,7 +102,10 @@ def companies_in_sector(edges: DataFrame, sector: str) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(start, node, hops): nodes within depth undirected steps of start.id, by least hops. One join a step, from the
-    nodes of the step before only; a node that is met again has more hops and falls away in the one aggregation."""
+    nodes of the step before only; a node that is met again has more hops and falls away in the one aggregation. More
+    than two steps go by expand()."""
+    if depth > 2:
+        return expand(edges, start, depth).drop("hub")
     both = edges.select(F.col("source").alias("_a"), F.col("target").alias("_b")).union(edges.select("target", "source")).distinct()
     front = start.select(F.col("id").alias("start"), F.col("id").alias("node"))
     found = front.withColumn("hops", F.lit(0))
@@ -109,6 +115,45 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("start", "node").agg(F.min("hops").alias("hops")).where("hops > 0")
 
 
+def expand(edges: DataFrame, start: DataFrame, depth: int, most_degree: int | None = None) -> DataFrame:
+    """(start, node, hops, hub): nodes within depth undirected steps of start.id, for any depth, by least hops.
+
+    Semi-naive: each hop goes on from the nodes that the hop before was the first to meet, and keeps what no earlier hop
+    has met; it is written to the shared folder, so plans stay short and a lost executor costs one hop. The search
+    ends when a hop meets nothing new. A node with more than most_degree neighbours is a hub: it is met, and said to be
+    one, but not passed through, unless it is the start; without most_degree there are none. Repeated edges, loops
+    and edges with a null end count for nothing; starts of no edge, and repeated ones, do no harm.
+    """
+    spark = edges.sparkSession
+    root = f"{shared(spark)}/expand-{uuid.uuid4().hex}"
+    ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")
+    both = ends.union(ends.select("b", "a")).distinct()
+    if most_degree is not None:
+        degree = both.groupBy("a").agg(F.count("*").alias("n"))
+        hub = F.col("n") > most_degree
+        both = both.join(degree.select("a", hub.alias("a_hub")), "a").join(degree.select(F.col("a").alias("b"), hub.alias("b_hub")), "b")
+    else:
+        both = both.withColumn("a_hub", F.lit(False)).withColumn("b_hub", F.lit(False))
+    both.write.parquet(f"{root}/edges")
+    both = spark.read.parquet(f"{root}/edges")
+    first = start.select(F.col("id").alias("start")).where("start IS NOT NULL").distinct()
+    met = first.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(False).alias("hub"))
+    met.write.parquet(f"{root}/met/h=0")
+    kind = met.schema
+    for hop in range(1, depth + 1):
+        front = spark.read.schema(kind).parquet(f"{root}/met/h={hop - 1}").where("hops = 0 OR NOT hub").select("start", "node")
+        # without hubs a neighbour of a node of hop h - 1 is of hop h - 2, of h - 1 or new; a hub may be met again later
+        old = max(0, hop - 2) if most_degree is None else 0
+        seen = spark.read.schema(kind).parquet(*[f"{root}/met/h={h}" for h in range(old, hop)])
+        found = front.join(both, F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), F.col("b_hub").alias("hub")).distinct()
+        new = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hops"), "hub")
+        new.write.parquet(f"{root}/met/h={hop}")
+        if spark.read.schema(kind).parquet(f"{root}/met/h={hop}").isEmpty():
+            depth = hop
+            break
+    return spark.read.schema(kind).parquet(*[f"{root}/met/h={h}" for h in range(1, depth + 1)]) if depth else met.where("hops > 0")
+
+
 def context(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """(start, nodes, relations): what lies within depth steps of start.id, and the relations (source, type, target)
     on the way there, each once, sorted: those with an end less than depth steps away."""

@@ -12,7 +12,7 @@ from stratalens.functions import tags, vocab
 from stratalens.functions import text as T
 from stratalens.operators import aggregate as A
 from stratalens.operators import chunks as C
-from stratalens.operators import documents, enrich, impact, search, service, vectors
+from stratalens.operators import documents, enrich, impact, language, search, service, vectors
 from stratalens.operators import graph as G
 from stratalens.operators import knowledge as K
 from stratalens.plans import prose as P
@@ -236,6 +236,47 @@ def graph_cypher(spark, sf_dir):
     return G.cypher(n, V.edges(spark, sf_dir))
 
 
+_LINKS = """links AS (SELECT DISTINCT source, target FROM (
+ SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS source, 'n' || CAST(n_nationkey AS VARCHAR) AS target FROM nation
+ UNION ALL SELECT 'n' || CAST(s_nationkey AS VARCHAR), 's' || CAST(s_suppkey AS VARCHAR) FROM supplier
+ UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'o' || CAST(l_orderkey AS VARCHAR) FROM lineitem
+ UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'c' || CAST(o_custkey AS VARCHAR) FROM orders
+ UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'p' || o_orderpriority FROM orders))"""
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, e AS (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links), d AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+w(start, node, hops) AS (SELECT DISTINCT 'r' || CAST(n_regionkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR), 0 FROM nation
+ UNION SELECT w.start, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node JOIN d ON d.a = w.node WHERE w.hops < 6 AND (w.hops = 0 OR d.n <= 1000)),
+m AS (SELECT start, node, min(hops) AS hops FROM w GROUP BY start, node)
+SELECT m.start, m.hops, count(*) AS n, CAST(count_if(d.n > 1000) AS BIGINT) AS hubs, md5(string_agg(m.node, ',' ORDER BY m.node)) AS digest FROM m JOIN d ON d.a = m.node WHERE m.hops > 0 GROUP BY m.start, m.hops""")
+def kg_reach_depth6(spark, sf_dir):
+    """What lies within six steps of each region in a graph of suppliers, orders and customers; the priorities of
+    orders are hubs, met and not passed through."""
+    t = lambda name: V.table(spark, sf_dir, name)
+    node = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    link = lambda name, a, b: t(name).select(node(*a).alias("source"), node(*b).alias("target"))
+    links = link("nation", ("r", "n_regionkey"), ("n", "n_nationkey")).union(link("supplier", ("n", "s_nationkey"), ("s", "s_suppkey"))).union(link("lineitem", ("s", "l_suppkey"), ("o", "l_orderkey")))
+    links = links.union(link("orders", ("o", "o_orderkey"), ("c", "o_custkey"))).union(link("orders", ("o", "o_orderkey"), ("p", "o_orderpriority")))
+    start = t("nation").select(node("r", "n_regionkey").alias("id"))
+    met = G.expand(links, start, 6, most_degree=1000)
+    return met.groupBy("start", "hops").agg(F.count("*").alias("n"), F.count_if("hub").alias("hubs"), F.md5(F.array_join(F.array_sort(F.collect_list("node")), ",")).alias("digest"))
+
+
+_GRAMS = "g AS (SELECT doc_id, lang, crc, unnest(list_transform(range(1, greatest(length(low) - 1, 1)), lambda i: substring(low, i, 3))) AS gram FROM (SELECT doc_id, lang, doc_id % 5 AS crc, lower(coalesce(text, '')) AS low FROM documents)), f AS (SELECT * FROM g WHERE length(gram) = 3)"
+
+
+@query(f"""WITH {_GRAMS}, c AS (SELECT lang, gram, count(*) AS n FROM f WHERE crc <> 1 AND lang IS NOT NULL GROUP BY lang, gram),
+t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), b AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, unicode(gram), unicode(gram[2:]), unicode(gram[3:]) LIMIT 20000),
+m AS (SELECT gram, lang, ln((coalesce(n, 0) + 1) / (total + (SELECT count(*) FROM b) + 1)) AS s FROM b CROSS JOIN t LEFT JOIN c USING (gram, lang)),
+o AS (SELECT lang, ln(1 / (total + (SELECT count(*) FROM b) + 1)) AS s FROM t), h AS (SELECT doc_id, gram, count(*) AS n FROM f GROUP BY doc_id, gram),
+x AS (SELECT h.doc_id, o.lang, sum(h.n * coalesce(m.s, o.s)) AS score FROM h CROSS JOIN o LEFT JOIN m ON m.gram = h.gram AND m.lang = o.lang GROUP BY h.doc_id, o.lang)
+SELECT d.doc_id, arg_max(x.lang, x.score) AS language FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id""")
+def learned_language(spark, sf_dir):
+    """Every document's language by trigram profiles that four fifths of the documents have taught."""
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", language.detect(F.col("text"), language.fit(d.where("doc_id % 5 <> 1"))).alias("language"))
+
+
 # impact -----------------------------------------------------------------------------------------------------------------
 
 _IMPACT = f"""{V.EXPOSED}, {V.COMPANIES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY similarity DESC, vec_id) AS rn FROM exposed),

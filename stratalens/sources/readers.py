@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +19,33 @@ def files(spark: SparkSession, path: str | list[str], pattern: str | None = None
     return reader.load(path).select("path", valid.alias("content"), F.col("modificationTime").alias("modified"))
 
 
-def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all columns text, names in lower case with underscores. UTF-8; where that leaves
-    replacement characters, the file is read as ISO-8859-1."""
-    read = lambda encoding: spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").option("quote", '"').csv(path)
-    df = read("UTF-8")
-    if df.columns and (any("�" in c for c in df.columns) or not df.where(F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains("�")).isEmpty()):
-        df = read("ISO-8859-1")
-    return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
+def not_utf8(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files below path that are not UTF-8. Files are read line by line, in splits; lines keep their bytes, and no
+    character of several bytes holds a line feed, so a file is UTF-8 if its lines are."""
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return sorted(_plain(r["path"]) for r in bad.collect())
+
+
+def _plain(address: str) -> str:
+    """A file's address without escapes, and with one slash where no host is named."""
+    return re.sub(r"^(\w+):///+", r"\1:/", unquote(address))
+
+
+def csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV files with a header, all columns text, names in lower case with underscores. Each file is UTF-8 if its bytes
+    are, else ISO-8859-1. Files of one encoding share a header; columns that only one encoding's files have are null
+    in the others."""
+    bad = not_utf8(spark, path)
+    every = [_plain(f) for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()]
+    found = []
+    for encoding, names in (("UTF-8", [f for f in every if f not in set(bad)]), ("ISO-8859-1", bad)):
+        if names:
+            df = spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").option("quote", '"').option("escape", '"').csv(names)
+            found.append(df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns]))
+    if not found:
+        raise FileNotFoundError(f"no files in {path}")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
 
 def companies_from_csv(df: DataFrame, name: str) -> DataFrame:
