@@ -6,7 +6,8 @@ slides along each, the counts of its characters are kept up one character in and
 whose Shannon entropy reaches the threshold of the string's character class (hexadecimal, one-case alphanumeric, or
 mixed) make a span, unless the string is on the allow-list or a fixed pattern's span overlaps it.
 
-Every function is evaluated within a row; there is no shuffle. Texts without a candidate cost a few searches.
+Every function is evaluated within a row; there is no shuffle. Texts without a candidate cost a few searches. A candidate
+is split into characters once and costs the same for each of them, however long it is.
 """
 
 from __future__ import annotations
@@ -28,7 +29,17 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 THRESHOLDS = {"hex": 2.9, "alnum": 3.45, "mixed": 3.75}
 #: Identifiers that look random and are no secrets: UUIDs, content digests with their name, sample credentials, and
 #: names of short words and numbers that hyphens or underscores join.
-ALLOW = [r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)^sha(1|256|384|512)[-_=]", r"(?i)example|sample|dummy|placeholder", r"^[A-Za-z]{1,12}([-_]([A-Za-z]{1,12}|[0-9]{1,8}))+$"]
+ALLOW = [
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"(?i)^sha(1|256|384|512)[-_=]",
+    r"(?i)example|sample|dummy|placeholder",
+    # parts of at most 12 letters or 8 digits, a word first: said by what must not occur, as a loop over the parts would
+    # need a stack as deep as there are parts
+    r"^(?=[A-Za-z]{1,12}[-_])(?!.*(?:[A-Za-z]{13}|[0-9]{9}|[A-Za-z][0-9]|[0-9][A-Za-z]|[^A-Za-z0-9_-]|[-_][-_]|[-_]$))",
+]
+#: The characters of candidates, and where each one's count stands in the accumulator: SLOTS counts of five bits a number.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SLOTS = 12
 
 
 def _literal(s: str) -> str:
@@ -57,22 +68,41 @@ def _placed(parts: str, kind: str, made: str, wanted: str) -> str:
     return f"flatten(transform({begins}, (begin, k) -> {walk}))"
 
 
+def _codes(text: str) -> str:
+    """SQL: array<int> of where the counts of a candidate's characters stand: 64 times the number, plus its shift."""
+    place = {c: 64 * (i // SLOTS) + 5 * (i % SLOTS) for i, c in enumerate(ALPHABET)}
+    table = "array(" + ", ".join(str(place.get(chr(i), 0)) for i in range(128)) + ")"
+    return f"transform(split({text}, ''), x -> {table}[ascii(x)])"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _entropy(window: int) -> str:
-    """SQL lambda of a candidate struct<start, text>: it with the least start and greatest end of its random windows.
+    """SQL lambda of a candidate struct<start, codes, threshold>: it with the least start and greatest end of its random
+    windows.
 
-    One character comes into the window and one goes out: only their two counts change, and with them two terms of the
-    sum of n log2 n. The counts are those of the two characters in the window.
+    One character goes out of the window and one comes in: the accumulator's counts of these two change by one, and
+    with them two terms of the sum of n log2 n. Counts are packed, SLOTS to a number, as they are at most `window`.
     """
+    if window > 30:
+        raise ValueError("windows have at most 30 characters")
     bits = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}D" for n in range(window + 2)) + ")"
-    count = lambda held, c: f"(length({held}) - length(replace({held}, {c}, '')))"
-    held = f"substring(c.text, greatest(1, i - {window}), least(i - 1, {window}))"
-    left = f"substring(c.text, greatest(1, i - {window - 1}), least(i - 1, {window - 1}))"
-    gone = count(held, f"substring(c.text, i - {window}, 1)")
-    came = count(left, "substring(c.text, i, 1)")
-    total = f"acc.total + {bits}[{came} + 1] - {bits}[{came}] + CASE WHEN i > {window} THEN {bits}[{gone} - 1] - {bits}[{gone}] ELSE 0D END"
-    full = f"i >= {window} AND log2({window}) - ({total}) / {window} >= c.threshold"
-    step = f"(acc, i) -> struct({total} AS total, CASE WHEN {full} AND acc.low < 0 THEN i - {window} ELSE acc.low END AS low, CASE WHEN {full} THEN i ELSE acc.high END AS high)"
-    return f"c -> aggregate(sequence(1, length(c.text)), struct(0D AS total, -1 AS low, -1 AS high), {step}, acc -> struct(c.start + acc.low AS start, 3 AS kind, c.start + acc.high AS end, acc.low AS low))"
+    words = range(-(-len(ALPHABET) // SLOTS))
+    held = lambda code: f"CAST(shiftright(CASE shiftright({code}, 6) " + " ".join(f"WHEN {k} THEN acc.w{k}" for k in words) + f" END, {code} & 63) & 31 AS INT)"
+    # what comes, and what goes (-1: nothing yet); then their counts without each other
+    moved = f"struct(c.codes[i - 1] AS a, CASE WHEN i > {window} THEN c.codes[i - {window + 1}] ELSE -1 END AS b)"
+    count = f"struct({held('z.a')} - CASE WHEN z.b = z.a THEN 1 ELSE 0 END AS a, CASE WHEN z.b >= 0 THEN {held('z.b')} ELSE 1 END AS b)"
+    total = f"acc.total + {bits}[y.a + 1] - {bits}[y.a] + CASE WHEN z.b >= 0 THEN {bits}[y.b - 1] - {bits}[y.b] ELSE 0D END"
+    change = lambda code, k: f"CASE WHEN shiftright({code}, 6) = {k} THEN shiftleft(1L, {code} & 63) ELSE 0L END"
+    counts = ", ".join(f"acc.w{k} + {change('z.a', k)} - {change('z.b', k)} AS w{k}" for k in words)
+    random = f"i >= {window} AND log2({window}) - t / {window} >= c.threshold"
+    kept = f"struct(t AS total, CASE WHEN r AND acc.low < 0 THEN i - {window} ELSE acc.low END AS low, CASE WHEN r THEN i ELSE acc.high END AS high, {counts})"
+    step = f"(acc, i) -> {_let('z', moved, _let('y', count, _let('t', total, _let('r', random, kept))))}"
+    zero = ", ".join(f"0L AS w{k}" for k in words)
+    return f"c -> aggregate(sequence(1, size(c.codes)), struct(0D AS total, -1 AS low, -1 AS high, {zero}), {step}, acc -> struct(c.start + acc.low AS start, 3 AS kind, c.start + acc.high AS end, acc.low AS low))"
 
 
 def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), allow: Sequence[str] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> DataFrame:
@@ -100,7 +130,7 @@ def scan(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), a
     # candidates: their places, their texts, the threshold of their class; those on the allow-list go
     level = f"CASE WHEN x.`1` RLIKE '^[0-9a-f]+$' OR x.`1` RLIKE '^[0-9A-F]+$' THEN {thresholds['hex']}D WHEN x.`1` RLIKE '^([0-9a-z_-]+|[0-9A-Z_-]+)$' THEN {thresholds['alnum']}D ELSE {thresholds['mixed']}D END"
     suspect = " AND ".join(f"NOT x.`1` RLIKE {_literal(a)}" for a in allow) or "true"
-    candidates = _placed("_entropy", "struct<start: int, text: string, threshold: double>", f"struct(acc.at + length(x.`0`) - length(x.`1`) AS start, x.`1` AS text, {level} AS threshold)", suspect)
+    candidates = _placed("_entropy", "struct<start: int, codes: array<int>, threshold: double>", f"struct(acc.at + length(x.`0`) - length(x.`1`) AS start, {_codes('x.`1`')} AS codes, {level} AS threshold)", suspect)
     loose = F.when(F.col("_entropy").isNotNull(), F.expr(f"transform(filter(transform({candidates}, {_entropy(window)}), e -> e.low >= 0), e -> struct(e.start AS start, e.kind AS kind, e.end AS end))")).otherwise(none)
     found = found.select(*held, *spans, loose.alias("_loose"))
     clear = F.filter("_loose", lambda e: ~F.exists(F.concat(*kinds[:-1]), lambda b: (b.start < e.end) & (e.start < b.end)))
