@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.llm.cut import keyed
+
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
@@ -123,9 +125,10 @@ def write(df: DataFrame, *, key: str = "page_id", url: str = "url", payload: str
 
     Null payloads are empty ones; null urls leave the target out; other columns are not read. Of rows with equal
     payloads that with the largest key is the response (all its copies, if its row repeats), the others revisit it.
+    A key must be an integer (another type is an error at once); rows without one name no record and give none.
     An empty table gives no bundles.
     """
-    src = df.select(F.col(key).cast("bigint").alias("_key"), F.col(url).cast("string").alias("_url"), F.col(payload).cast("binary").alias("_payload"))
+    src = keyed(df, key).select(F.col(key).cast("bigint").alias("_key"), F.col(url).cast("string").alias("_url"), F.col(payload).cast("binary").alias("_payload"))
     again = revisits(src, "_key", "_payload", least)
     digest = F.sha1(F.coalesce("_payload", F.lit(b"")))
     rows = src.withColumn("_digest", digest).join(again, ["_key", "_digest"], "left").select("_key", "_url", "_payload", "refers_to")
