@@ -115,15 +115,17 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     give 0. Rows that repeat are documents of their own. An empty table gives an empty result. Clashing names in df
     do no harm: only the three columns named are read.
     Sources whose weights' share exceeds cap times their size keep that size times cap; no document gives more than
-    cap times its size. The order of documents depends on seed and key alone, so reruns agree.
+    cap times its size. The order of documents depends on seed and key, and of rows
+    that share a key on size and text, so reruns agree.
     """
     spark = df.sparkSession
     many = dict(df.dtypes)[source].startswith("array")
     raw = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    sized = sizes(raw, "_text", "size", ["_key", "_source"])
+    # rows may share a key: their texts then settle the order
+    sized = sizes(raw.withColumn("_tie", F.xxhash64("_text")), "_text", "size", ["_key", "_source", "_tie"])
     pattern = F.array_sort(F.array_distinct(F.coalesce("_source", F.array().cast("array<string>")))) if many else F.array("_source")
     order = F.xxhash64(F.lit(seed), F.col("_key"))
-    docs = cut(sized.select("_key", "size", pattern.alias("_pattern"), order.alias("_order")), "mix-sizes")
+    docs = cut(sized.select("_key", "_tie", "size", pattern.alias("_pattern"), order.alias("_order")), "mix-sizes")
     rows = docs.groupBy("_pattern").agg(F.sum("size").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -144,7 +146,7 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     ranges = ranked.groupBy("_pattern", "_range").agg(F.sum("size").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     # plan has a row for each pattern and ranges 4096 of them: small, but joined by whatever way Spark finds its size fits
     ranges = ranges.join(plan, ranges["_pattern"].eqNullSafe(plan["_pattern"])).select(ranges["_pattern"], "_range", "_before", "source_size", "target", "_n", "_flow")
-    within = Window.partitionBy("_pattern", "_range").orderBy("_order", "_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_pattern", "_range").orderBy("_order", "_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranked.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("a").join(ranges.alias("b"), F.col("a._pattern").eqNullSafe(F.col("b._pattern")) & (F.col("a._range") == F.col("b._range")))
     whole = F.expr("CASE WHEN _n > 0 THEN _flow div _n ELSE 0L END")
     rest = F.col("_flow") - whole * F.col("_n") - F.col("_before") - F.col("_within")

@@ -194,3 +194,70 @@ def test_a_text_of_a_megabyte_is_one_turn(spark):
     df = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", "Ok."), (1, 3, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
     row = conversations.digests(*conversations.repaired_pieces(df)).select(F.col("cost"), F.col("audit")).first()
     assert tuple(row) == (2, "KKIK")
+
+
+def test_a_long_candidate_costs_the_same_for_each_character(spark):
+    """A hundred thousand characters, and names of as many parts: spans as for short ones, and time in proportion."""
+    import time
+
+    from stratalens.llm import secretscan
+
+    r = random.Random(12)
+    letters = secretscan.ALPHABET[:64]
+    took = {}
+    for n in (1000, 50_000, 100_000):
+        text = "".join(r.choice(letters) for _ in range(n))
+        rows = [(1, f"x {text} y"), (2, "ab-12-" * (n // 6) + "zz"), (3, "a" * n + "1"), (4, "a1" * (n // 2))]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        start = time.perf_counter()
+        got = {x.doc_id: [(s.start, s.end) for s in x.entropy] for x in secretscan.scan(df).collect()}
+        took[n] = time.perf_counter() - start
+        assert got == {1: [(2, 2 + n)], 2: [], 3: [], 4: []}
+    assert took[100_000] < 3 * took[50_000] + 2
+
+
+def test_records_have_integer_keys(spark):
+    from stratalens.llm import warc
+
+    rows = [(1, "http://a/", "same"), (None, "http://b/", "same"), (2, None, "same"), (None, None, None), (3, "u", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df)).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
+    with pytest.raises(TypeError, match="integer"):
+        warc.write(df.withColumn("page_id", F.col("page_id").cast("string")))
+
+
+def test_rows_that_share_a_key_are_mixed_alike_in_every_run(spark):
+    from stratalens.llm import mixing
+
+    rows = [(i // 6, "word " * (1 + i % 5) + str(i), "ab"[i % 2]) for i in range(240)]
+    runs = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts)
+        runs.append(sorted(map(tuple, mixing.mix(df, share=0.7).collect()), key=repr))
+    assert runs[0] == runs[1]
+
+
+def test_flow_costs_as_little_as_any(spark):
+    """Overlapping sources against the optimum by a linear program over all ways to send whole tokens."""
+    from stratalens.llm import mixing
+
+    r = random.Random(3)
+    for _ in range(25):
+        patterns = [(p, r.randint(1, 4)) for p in (("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b", "c")) if r.random() < 0.8]
+        names = sorted({s for p, _ in patterns for s in p})
+        target = {s: r.randint(0, 7) for s in names}
+        sent = mixing.flow(patterns, target, 2)
+        assert all(sum(f[s] for f, (p, _) in zip(sent, patterns) if s in p) <= target[s] for s in names)
+        took = [sum(f.values()) for f in sent]
+        assert all(0 <= t <= 2 * n for t, (_, n) in zip(took, patterns))
+        cost = lambda took: sum(max(0, t - n) for t, (_, n) in zip(took, patterns))
+        best = None
+        for each in itertools.product(*[range(2 * n + 1) for _, n in patterns]):
+            if best and (-sum(each), cost(each)) >= best:
+                continue
+            # sources can take it if every set of patterns fits in the sources that it reaches (Hall)
+            fits = all(sum(each[i] for i in range(len(patterns)) if set(patterns[i][0]) <= set(sub)) <= sum(target[s] for s in sub) for k in range(len(names) + 1) for sub in itertools.combinations(names, k))
+            if fits:
+                best = (-sum(each), cost(each))
+        assert (-sum(took), cost(took)) == best, (patterns, target)
