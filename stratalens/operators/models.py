@@ -2,22 +2,83 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratalens import schemas
-from stratalens.functions import scoring as S
 from stratalens.functions import tags, vocab
 from stratalens.functions import text as T
 
+Model = Callable[[Sequence[str]], np.ndarray]
 
 def embed(text: Column, size: int = 64) -> Column:
-    """A hashing embedder: counts of words by hash, of length one; zero for no words. In Column expressions."""
+    """A hashing embedder: counts of words by hash, of length one; zero for no words. Words are split and hashed as
+    Column expressions, and counted once over Arrow batches."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(S.dot(counts, counts))
-    return F.transform(counts, lambda c: F.when(norm == 0, 0.0).otherwise(c / norm).cast("float"))
+
+    @F.arrow_udf("array<float>")
+    def count(slots: pa.Array) -> pa.Array:
+        lengths = pc.list_value_length(slots).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        counts = np.bincount(rows * size + slots.flatten().to_numpy(zero_copy_only=False), minlength=len(lengths) * size).reshape(-1, size)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return _vectors(counts / np.where(norm == 0, 1, norm))
+
+    return count(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")))
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    values = np.ascontiguousarray(x, np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+_LOADED: dict[str, Model] = {}
+
+
+def _model(name: str, load: Callable[[], Model]) -> Model:
+    """The worker's model of that name: this module's table outlives the functions that are sent to the worker."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def embedder(load: Callable[[], Model], size: int, most_words: int = 4096) -> Callable[[Column], Column]:
+    """A model in place of embed(): load() gives a function of texts that returns their vectors, of `size` components.
+
+    A Python worker loads the model once and keeps it for all its tasks and batches. Texts go to it in batches of at
+    most most_words words, counting each as long as the longest of its batch (a longer text goes alone), shortest first,
+    so that batches are even and little is padded. Null and blank texts have no vector. A model that gives another
+    number of vectors, or vectors of another size, is an error.
+    """
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = b.to_pylist()
+            length = [len(t.split()) if t else 0 for t in texts]
+            order = sorted((i for i, n in enumerate(length) if n), key=length.__getitem__)
+            found: list = [None] * len(texts)
+            at = 0
+            while at < len(order):
+                end = at + 1
+                while end < len(order) and (end - at + 1) * length[order[end]] <= most_words:
+                    end += 1
+                vectors = np.asarray(_model(name, load)([texts[i] for i in order[at:end]]), np.float32)
+                if vectors.shape != (end - at, size):
+                    raise ValueError(f"the model gave vectors of shape {vectors.shape}, not {(end - at, size)}")
+                for i, v in zip(order[at:end], vectors, strict=True):
+                    found[i] = v
+                at = end
+            yield pa.array(found, pa.list_(pa.float32()))
+
+    return run
 
 
 def summary(text: Column, most: int = 8000, shown: int = 500) -> Column:

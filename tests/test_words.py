@@ -95,3 +95,53 @@ def test_traversal_is_breadth_first(spark, most):
     assert {tuple(x) for x in got} == want and len(got) == len(want)
     assert {(a, b, h) for a, b, h in map(tuple, graph.reachable(edges, spark.createDataFrame([("v0",)], "id string"), 5).collect())} == {x[:3] for x in _breadth_first(links, "v0", 5, None)}
     assert graph.expand(edges.limit(0), spark.createDataFrame([("v0",)], "id string"), 4).count() == 0
+
+
+def test_the_hashing_embedder_is_a_plain_count(spark):
+    import re
+
+    import xxhash
+
+    from stratalens.operators import models
+
+    texts = ["Alpha beta, beta GAMMA!", "", None, "...", "one " * 5000, "a b c d e f g"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    for r in rows.select("id", models.embed(F.col("text"), 16).alias("v")).collect():
+        want = [0] * 16
+        for w in re.findall(r"\w+", (texts[r.id] or "").lower()):
+            want[int.from_bytes(xxhash.xxh64(w.encode(), seed=42).digest(), "big", signed=True) % 16] += 1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert r.v == pytest.approx([x / norm for x in want], rel=1e-6)
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    """Loads and batches are counted by files; vectors are those of the model, text by text."""
+    import os
+    import uuid
+
+    import numpy as np
+
+    from stratalens.operators import models
+
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            longest = max(len(t.split()) for t in texts)
+            assert len(texts) == 1 or len(texts) * longest <= 50
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts])
+
+        return model
+
+    texts = [None, "", "  ", "x " * 400, *["a" * (i % 5 + 1) + " b" * (i % 30) for i in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(9)
+    for _ in range(2):
+        got = {r.id: r.v for r in rows.select("id", models.embedder(load, 3, 50)(F.col("text")).alias("v")).collect()}
+        assert got == {i: [float(len(t)), float(t.count("a")), 1.0] if t and t.strip() else None for i, t in enumerate(texts)}
+    loads = [f.split("-")[1] for f in os.listdir(folder)]
+    assert 2 <= len(loads) <= 2 * len(set(loads))
+    wrong = models.embedder(lambda: lambda texts: np.zeros((len(texts), 2)), 3)
+    with pytest.raises(Exception, match="vectors of shape"):
+        rows.select(wrong(F.col("text"))).collect()
