@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[str]:
+    """What operators cut within goes to one folder of the shared one, whose path this gives: they read it until their
+    result is written, and then drop() removes it."""
+    path = f"{shared_dir(spark)}/cuts-{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that folder() gave."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -261,3 +261,19 @@ def test_flow_costs_as_little_as_any(spark):
             if fits:
                 best = (-sum(each), cost(each))
         assert (-sum(took), cost(took)) == best, (patterns, target)
+
+
+def test_cuts_of_a_job_go_with_their_folder(spark, sf, tmp_path):
+    import os
+
+    from stratalens.llm import cut
+
+    shared = cut.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    with cut.folder(spark) as path:
+        rows = Q.op13_conversations(spark, sf)
+        n = rows.count()
+    assert set(os.listdir(shared)) - before == {path.rsplit("/", 1)[1]}
+    rows.write.parquet(f"file://{tmp_path}/result")
+    cut.drop(spark, path)
+    assert set(os.listdir(shared)) == before and spark.read.parquet(f"file://{tmp_path}/result").count() == n
