@@ -145,3 +145,12 @@ def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
     wrong = models.embedder(lambda: lambda texts: np.zeros((len(texts), 2)), 3)
     with pytest.raises(Exception, match="vectors of shape"):
         rows.select(wrong(F.col("text"))).collect()
+
+
+def test_files_by_prefix_and_suffix(spark, tmp_path):
+    """A scan of a store: everything below a prefix, whatever its depth, with a suffix."""
+    for name in ("parsed/a_10k.json", "parsed/filings/T/b_10q.json", "parsed/filings/T/c.txt", "parsed-old/d_8k.json", "other/e_10k.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    found = {r.path.rsplit("/", 1)[1]: r.content for r in readers.files(spark, f"file://{tmp_path}/parsed*", "*_10[kq].json").collect()}
+    assert found == {"a_10k.json": "parsed/a_10k.json", "b_10q.json": "parsed/filings/T/b_10q.json"}
