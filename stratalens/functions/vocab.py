@@ -139,7 +139,7 @@ RECENCY_RATE, TOKENS_BASE, HIGH_RISK_COUNTRIES = 0.001, 1000, ["china", "taiwan"
 
 # How text is cleaned, step by step (pattern, what takes its place). $1 is a group.
 CLEANING = [
-    (r"\n(?:\s*\n+)?", " "),
+    (r"(?U)\n(?:\s*\n+)?", " "),
     (r"([.!?])([A-Za-z])", "$1 $2"),
     (r" +", " "),
     (r"""(?U)[^\w\s.,;:!?\-()"'%$£€]""", ""),

@@ -245,6 +245,45 @@ def regex_sections(df: DataFrame, keep: list[str], html: str = "content") -> Dat
     return _mapped(plain, ["_plain"], keep, f"pos int, section {schemas.SECTION}", lambda text: [{"pos": i, "section": s} for i, s in enumerate(plain_sections(text))])
 
 
+_ITEM = r"ITEM\s+"
+
+
+def _any_header(after: str) -> str:
+    """One pattern for all headers of plain text: what they all begin with stands first, so that a place where none
+    begins is left at once. `after` takes the place of the character that some ask for after their words."""
+    return _ITEM + "(?:" + "|".join(p.removeprefix(_ITEM).replace("[^A]", after) for p, *_ in vocab.PLAIN_SECTIONS) + ")"
+
+
+def text_sections(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """plain_sections() of plain text, in Column expressions: keep, pos, section_id, title, text, word_count, char_count.
+
+    A text is split right before every header, so each part begins with its own; the character after a header may begin
+    the next one. What stands before the first header goes.
+    Parts are cleaned and kept from 100 characters on; a text of which none is left is one section, a blank or null
+    text has none.
+    """
+    headers = [(f"(?iU)^(?:{p.replace('[^A]', '(?!A)')})", sid, title) for p, sid, title in vocab.PLAIN_SECTIONS]
+    every = _any_header("(?=[^A])")
+    t = F.coalesce(F.col(text), F.lit(""))
+    begins = t.rlike(f"(?iU)^(?:{every})")
+
+    def named(part: Column, i: Column) -> Column:
+        which = F
+        for n, (pattern, *_) in enumerate(headers):
+            which = which.when(part.rlike(pattern), F.lit(n))
+        return F.struct(F.when((i > 0) | begins, which).alias("n"), T.clean_text(part).alias("text"))
+
+    of = lambda k: F.array(*[F.lit(h[k]) for h in headers])
+    made = lambda sid, title, body: F.struct(sid.alias("section_id"), title.alias("title"), body.alias("text"))
+    parts = F.filter(F.transform(F.split(t, f"(?iU)(?={every})", -1), named), lambda x: x.n.isNotNull() & (F.length(x.text) >= 100))
+    found = F.transform(parts, lambda x: made(F.get(of(1), x.n), F.get(of(2), x.n), x.text))
+    # the whole text is cleaned only where no part is left
+    whole = F.array(made(F.lit("full_document"), F.lit("Full Document"), T.clean_text(F.col("_t"))))
+    rows = df.select(*keep, t.alias("_t"), found.alias("_found"))
+    rows = rows.select(*keep, F.posexplode(F.when(F.size("_found") > 0, F.col("_found")).when(F.col("_t").rlike(r"(?U)\S"), whole)).alias("pos", "s"))
+    return rows.select(*keep, "pos", "s.*", F.size(F.regexp_extract_all("s.text", F.lit(r"(?U)\S+"), F.lit(0))).alias("word_count"), F.length("s.text").alias("char_count"))
+
+
 def filings(files: DataFrame) -> DataFrame:
     """files (path, content) to filings: names give ticker, form, date and year; contents company, CIK and sections."""
     main = main_document(submissions(F.coalesce("content", F.lit(""))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import scoring as S
-from stratalens.functions import tags
+from stratalens.functions import tags, vocab
 from stratalens.functions import text as T
 from stratalens.operators import aggregate as A
 from stratalens.operators import chunks as C
@@ -252,6 +252,28 @@ def clean_text(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("digest"))
 
 
+
+_HEADS = ["ITEM 1A. RISK FACTORS ", "Item 1: Business ", "item  7A - Quantitative ", "ITEM 7 Management discusses ", "Item 9 Nothing ", "ITEM 8. FINANCIAL "]
+_HEADED = f"""heads AS (SELECT {_HEADS!r}::VARCHAR[] AS h), headed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') ELSE concat(CASE WHEN doc_id % 2 = 0 THEN 'Before it all. ' ELSE '' END, h[doc_id % 6 + 1], text, ' ', h[(doc_id + 2) % 6 + 1], CASE WHEN doc_id % 5 = 0 THEN 'Short.' ELSE text END, chr(10), h[(doc_id + 3) % 6 + 1], text) END AS text FROM documents, heads)"""
+_PLAIN = "|".join(p.replace("[^A]", "") for p, *_ in vocab.PLAIN_SECTIONS)
+_PART_ID = "CASE " + " ".join(f"WHEN regexp_matches(part, '(?i)^(?:{p.replace('[^A]', '')})') THEN '{sid}'" for p, sid, _ in vocab.PLAIN_SECTIONS) + " END"
+
+
+@query(f"""WITH {_HEADED}, parts AS (SELECT doc_id, text, unnest(string_split(regexp_replace(text, '(?i)({_PLAIN})', chr(1) || '\\1', 'g'), chr(1))) AS part, unnest(range(len(string_split(regexp_replace(text, '(?i)({_PLAIN})', chr(1) || '\\1', 'g'), chr(1))))) AS i FROM headed),
+found AS (SELECT doc_id, i, {_PART_ID} AS section_id, {_CLEAN.replace('COLUMN', 'part')} AS body FROM parts), kept AS (SELECT doc_id, i, section_id, body FROM found WHERE section_id IS NOT NULL AND length(body) >= 100),
+every AS (SELECT * FROM kept UNION ALL SELECT doc_id, 0, 'full_document', {_CLEAN.replace('COLUMN', 'text')} FROM headed WHERE doc_id NOT IN (SELECT doc_id FROM kept) AND regexp_matches(text, '[^\\s]'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, section_id, md5(body) AS digest, len(regexp_extract_all(body, '[^\\s]+')) AS words FROM every""")
+def text_sections(spark, sf_dir):
+    """Plain text with headers of forms, in and out of case, split at them; every document, whole."""
+    i = F.col("doc_id")
+    head = lambda k: F.get(F.array(*map(F.lit, _HEADS)), ((i + k) % 6).cast("int"))
+    x = F.coalesce("text", F.lit(""))
+    second = F.when(i % 5 == 0, "Short.").otherwise(x)
+    headed = F.concat(F.when(i % 2 == 0, "Before it all. ").otherwise(""), head(0), x, F.lit(" "), head(2), second, F.lit("\n"), head(3), x)
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.when(i % 7 == 0, x).otherwise(headed).alias("text"))
+    return sections.text_sections(rows, ["doc_id"]).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "section_id", F.md5("text").alias("digest"), F.col("word_count").cast("bigint").alias("words"))
+
+
 @query("SELECT page_id, md5(" + _CLEAN.replace("COLUMN", "regexp_replace(html, '<[^>]+>', ' ', 'g')") + ") AS digest FROM pages")
 def strip_tags(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))

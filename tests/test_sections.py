@@ -82,3 +82,21 @@ def test_company_cascade(spark):
     ciks = {"CIK: 0000320193": "0000320193", "central index key 0000320194": "0000320194", "<meta name='cik' content='1234567890'>": "1234567890", "C.I.K. 0000320195": "0000320195", "id 0000320196 is the cik": "0000320196", "tel 0000320197": "", "1234567891 cik": ""}
     df = spark.createDataFrame([(i, k) for i, k in enumerate(ciks)], "i int, h string").select("i", T.cik(F.col("h")).alias("c"))
     assert [r.c for r in df.orderBy("i").collect()] == list(ciks.values())
+
+
+def test_text_sections_are_those_of_the_parser(spark):
+    """Column expressions against the parser's own walk, on texts of headers, near headers and filling."""
+    import random
+
+    r = random.Random(10)
+    heads = ["ITEM 1A. RISK FACTORS", "Item 1 : Business", "item 7A-quantitative", "ITEM\n7. Management", "ITEM 7 MANAGEMENTA", "Item 8 financial", "ITEM 2. PROPERTIES", "Item 11 Business", "ITEM 3", "Item 6.selected", "MANAGEMENT", "ITEM"]
+    filling = lambda: " ".join(r.choice(["word", "Of,", "é", "1A", " ", "\n", "risk"]) for _ in range(r.choice([0, 3, 40, 120])))
+    texts = ["".join(r.choice([f"{r.choice(heads)}{r.choice([' ', chr(10)])}", filling()]) for _ in range(r.randint(0, 9))) for _ in range(200)]
+    texts += ["ITEM 7 MANAGEMENT", "ITEM 7 MANAGEMENT" + "ITEM 8 FINANCIAL " + "x y " * 60, "ITEM 7 MANAGEMENT " + "z " * 90, None, "", " \n\t", "x" * 50_000 + " ITEM 2 PROPERTIES " + "y " * 50_000]
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "id int, text string, section_id string")
+    got = {}
+    for x in S.text_sections(rows.select("id", "text"), ["id"]).orderBy("id", "pos").collect():
+        got.setdefault(x.id, []).append((x.pos, x.section_id, x.title, x.text, x.word_count, x.char_count))
+    want = {i: [(k, s["section_id"], s["title"], s["text"], s["word_count"], s["char_count"]) for k, s in enumerate(S.plain_sections(t or ""))] for i, t in enumerate(texts)}
+    assert got == {i: v for i, v in want.items() if v}
+    assert {x[1] for v in got.values() for x in v} >= {"item_1a", "item_1", "item_7a", "item_7", "item_8", "item_2", "item_6", "full_document"}
