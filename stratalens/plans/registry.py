@@ -338,8 +338,9 @@ _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!
 
 @query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
 def sentence_split(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+    """A null text has no number and no digest, as in SQL."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), T.sentences(F.col("text"))).alias("s"))
+    return d.select("doc_id", F.array_size("s").cast("bigint").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents), c AS (SELECT doc_id, s, len(s) AS n, CAST(ceil(len(s) / 3.0) AS BIGINT) - CASE WHEN len(s) % 3 = 1 AND len(s) > 3 THEN 1 ELSE 0 END AS k FROM s WHERE len(s) > 0)
