@@ -24,6 +24,7 @@ from stratalens.llm.neardup import shared_lists, unite
 CHARS, BANDS, ROWS = 8, 14, 4
 _FACTOR = np.uint64(0x9DDFEA08EB382D69)
 MOST_SEEN = 1_000_000  # lines that a task remembers to have sent
+MARKS, MAP = 1 << 25, 1 << 15  # bits that say which lines may be in a bucket; bits of one of Spark's bitmaps
 
 
 def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +123,31 @@ def buckets(df: DataFrame, text: str, chars: int, bands: int, rows: int) -> Data
     return shared_lists(found)
 
 
-def line_texts(df: DataFrame, text: str) -> DataFrame:
-    """(_key, _rest, _text): the lines with a word, by the halves of their digests, once a batch slice."""
+def marks(keys: DataFrame) -> np.ndarray:
+    """A map of MARKS bits, 4 MB for any input: the bits that the numbers _key end in are set."""
+    bit = F.pmod("_key", F.lit(MARKS))
+    dealt = keys.select(F.floor(bit / MAP).alias("_map"), (bit % MAP).alias("_bit")).repartition("_map")
+    out = np.zeros((MARKS // MAP, MAP // 8), np.uint8)
+    for number, bits in dealt.groupBy("_map").agg(F.bitmap_construct_agg("_bit")).collect():
+        out[number] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of a map: all that are, and of the others as many as the map is full."""
+    at = keys & np.int64(MARKS - 1)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1) != 0
+
+
+def line_texts(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """(_key, _rest, _text): the lines that a map of marks() names, by the halves of their digests, once a batch slice."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in kernels.text_slices(b.column(0)):
                 raw, starts, ends, digests, _ = _digests(data, offsets)
-                _, once = np.unique(digests[0], return_index=True)
+                names, once = np.unique(digests[0], return_index=True)
+                once = once[marked(wanted, names)]
                 yield pa.RecordBatch.from_arrays([*[pa.array(d[once]) for d in digests], pa.array([raw[s:e] for s, e in zip(starts[once].tolist(), ends[once].tolist(), strict=True)], pa.binary())], ["_key", "_rest", "_text"])
 
     return df.select(F.col(text).alias("_text")).mapInArrow(find, "_key bigint, _rest bigint, _text binary")
@@ -139,10 +157,21 @@ def _char_sets(chars: int) -> tuple:
     def hashed(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         shingles, at = _shingles(data, offsets[:-1], offsets[1:], chars)
         for i in range(len(at) - 1):
-            yield np.unique(shingles[at[i] : at[i + 1]])
-
-    def members(raw: bytes) -> set:
-        line = raw.lower().decode("utf-8", "surrogateescape")
+            yield kernels.distinct(shingles[at[i] : at[i + 1]])
+
+    def members(raw: bytes) -> set | np.ndarray:
+        """The shingles; eight characters of one byte each are told by the number that these bytes make."""
+        line = raw.lower()
+        if chars == 8 and len(line) >= 8:
+            narrow = line
+            if not line.isascii():
+                try:
+                    narrow = line.decode("utf-8", "surrogateescape").encode("latin-1")
+                except UnicodeEncodeError:
+                    narrow = b""
+            if len(narrow) >= 8:
+                return kernels.distinct(np.ndarray((len(narrow) - 7,), "<u8", narrow, strides=(1,)))
+        line = line.decode("utf-8", "surrogateescape")
         return {line[i : i + chars] for i in range(max(1, len(line) - chars + 1))}
 
     return hashed, members
@@ -161,7 +190,8 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: int =
     linked = cut(buckets(docs, text, chars, bands, rows), "line-buckets")
     involved = linked.select("_key").distinct()
     # of lines that share half a digest, which no two are known to do, the least by the other half is looked at
-    texts = line_texts(docs, text).join(involved, "_key").groupBy("_key").agg(F.min_by("_text", "_rest").alias("_text"), F.min("_rest").alias("_rest"))
+    # the map spares the exchange nearly all texts that are in no bucket; where it is full, they go and the join drops them
+    texts = line_texts(docs, text, marks(involved)).join(involved, "_key").groupBy("_key").agg(F.min_by("_text", "_rest").alias("_text"), F.min("_rest").alias("_rest"))
     texts = cut(texts, "line-texts")
     # lines are short: their full sets cost less than sketches would
     parts = unite(linked, texts.select("_key", "_text"), _char_sets(chars), num, den, sketch=False)

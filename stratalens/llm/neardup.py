@@ -64,7 +64,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndar
     hashes = kernels.span_hashes(data, starts, ends, lower=True)
     shingles, at = kernels.windows(hashes, rows, words, whole_if_short=True)
     for i in range(len(at) - 1):
-        yield np.unique(shingles[at[i] : at[i + 1]])
+        yield kernels.distinct(shingles[at[i] : at[i + 1]])
 
 
 def _runs(s: np.ndarray, lengths: Sequence[int]) -> np.ndarray:
@@ -105,32 +105,39 @@ def prints(df: DataFrame, key: str, text: str, words: int, num: int, den: int) -
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """The rows (run, _key) whose run has several keys, once each. Sorted within partitions and read as a stream: no
-    list is held."""
+    """The rows (run, _key) whose run has several keys, once each; a row that comes several times, and in a run that
+    spans Arrow batches, may be given once a batch, which changes no pair. Sorted within partitions, by the one number
+    that Spark sorts by its digits, and read as a stream: no list is held."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by run and key; the last one of a batch waits until the next batch shows what follows
-        run = key = np.zeros(0, np.int64)
-        open_list = False  # whether the waiting row's run has had another key before
+        # rows come sorted by run; of the run that a batch ends in, the first key waits until another key shows
+        last = first = None
+        several = False  # whether the run that a batch ended in has had another key than its first
         for b in batches:
-            run, key = (np.concatenate([w, c.to_numpy(zero_copy_only=False)]) for w, c in zip((run, key), b.columns, strict=True))
+            run, key = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(run):
                 continue
-            new_run = np.concatenate([[not open_list], run[1:] != run[:-1]])
-            fresh = new_run.copy()
-            fresh[0] = True
-            fresh[1:] |= key[1:] != key[:-1]
-            run, key, new_run = run[fresh], key[fresh], new_run[fresh]
-            # a row is of a list if it goes on the run before it, or the next row goes on its run
-            take = ~new_run
-            take[:-1] |= ~new_run[1:]
-            open_list = bool(take[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(run[:-1][take[:-1]]), pa.array(key[:-1][take[:-1]])], ["run", "_key"])
-            run, key = run[-1:], key[-1:]
-        if open_list:
-            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(key)], ["run", "_key"])
-
-    return rows.repartition("run").sortWithinPartitions("run", "_key").mapInArrow(shared, "run bigint, _key bigint")
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            sizes = np.diff(np.append(starts, len(run)))
+            heads = key[starts]
+            goes_on = run[0] == last
+            if goes_on:
+                heads[0] = first
+            lists = np.logical_or.reduceat(key != np.repeat(heads, sizes), starts)
+            waited = goes_on and lists[0] and not several
+            lists[0] |= goes_on and several
+            take = np.repeat(lists, sizes)
+            out_run, out_key = run[take], key[take]
+            if waited:
+                out_run, out_key = np.append(out_run, last), np.append(out_key, first)
+            order = np.lexsort((out_key, out_run))
+            out_run, out_key = out_run[order], out_key[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (out_run[1:] != out_run[:-1]) | (out_key[1:] != out_key[:-1])
+            last, first, several = run[-1], heads[-1], bool(lists[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out_run[fresh]), pa.array(out_key[fresh])], ["run", "_key"])
+
+    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(shared, "run bigint, _key bigint")
 
 
 def word_sets(words: int) -> tuple[Callable, Callable]:
@@ -160,10 +167,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable],
     hashed, members = how
     slack = 6 * math.sqrt(num / den * (1 - num / den) / K)
 
-    def found_in(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Which values of x are in y; both are sorted."""
-        return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
-
     def ruled_out(x: np.ndarray, y: np.ndarray) -> bool:
         if not len(x) or not len(y):
             return True
@@ -188,17 +191,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: tuple[Callable, Callable],
                         continue
                     linked, both, changed = False, None, None
                     if wide[row] or not sketch or not ruled_out(s, mine):
-                        shared = found_in(mine, s)
+                        shared = kernels.found_in(mine, s)
                         both = int(shared.sum())
                         if wide[row]:
                             marks = np.zeros(BITS, np.uint8)
-                            for part in (s[~shared], mine[~found_in(s, mine)]):
+                            for part in (s[~shared], mine[~kernels.found_in(s, mine)]):
                                 marks[part & np.uint64(BITS - 1)] = 1
                             changed = np.packbits(marks, bitorder="little").view(np.int64)
                         if both and both * den >= num * (len(s) + len(mine) - both):
                             full = members(source) if full is None else full
                             other = members(raw[start:end])
-                            n = len(full & other)
+                            n = kernels.common(full, other)
                             linked = n * den >= num * (len(full) + len(other) - n)
                     found.append((a_col[row], key[row], linked, len(s), len(mine), both, changed))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds.values())], list(kinds))

@@ -215,3 +215,51 @@ def test_labels_few_and_many_give_rules():
     bad = (x["a"] > 0.9) | (rng.random(3000) < 0.05)
     kept = quality.learn(x, bad).predict(x)
     assert (~kept[x["a"] > 0.9]).mean() > 0.95 and kept[~bad].mean() > 0.97
+
+
+def test_line_shingles_by_numbers():
+    """Shingles of one byte a character are counted as numbers; counts are those of strings, also beside wider lines."""
+    import random
+
+    hashed, members = lines._char_sets(8)
+    rng = random.Random(4)
+    alphabets = ["ab", "aA \x00", "aAé\xff", "aAé☃𐐷"]
+    texts = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(1, 24))).encode() for _ in range(150)]
+    texts += [b"abc", b"abc" + bytes(5), b"abcdefgh", b"abcdefghi", b"xabcdefgh\xe2\x98\x83", b"abcdefgh\xff"]
+    plain = [(lambda x: {x[i : i + 8] for i in range(max(1, len(x) - 7))})(t.lower().decode("utf-8", "surrogateescape")) for t in texts]
+    for a, x in zip(texts, plain, strict=True):
+        assert len(members(a)) == len(x)
+        for b, y in zip(texts[-40:], plain[-40:], strict=True):
+            assert kernels.common(members(a), members(b)) == len(x & y)
+    assert isinstance(members(b"A line of plain text"), np.ndarray)
+
+
+def test_marked_keys():
+    bits = np.zeros(lines.MARKS // 8, np.uint8)
+    keys = np.array([0, 7, 8, -1, 2**62 + 5, -(2**63)], np.int64)
+    for k in keys.tolist():
+        bits[k % lines.MARKS >> 3] |= 1 << (k & 7)
+    assert lines.marked(bits, keys).all() and not lines.marked(bits, np.array([1, 9, -3], np.int64)).any()
+
+
+def test_lists_across_batches(spark):
+    """Lists that span Arrow batches, with keys that come several times: every run of several keys, and no other."""
+    rows = [(r, k) for r in range(40) for k in ([5] if r % 2 else [5, r]) for _ in range(1 + 3 * (r % 5))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(x) for x in neardup.shared_lists(spark.createDataFrame(rows, "run bigint, _key bigint")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    several = {r for r, _ in rows if len({k for q, k in rows if q == r}) > 1}
+    assert set(got) == {(r, k) for r, k in rows if r in several}
+
+
+def test_only_wanted_line_texts_go(spark):
+    """Of texts whose lines are in no bucket, none goes to the exchange, and all lines of buckets do."""
+    df = spark.createDataFrame([("one line of its own\nanother line that others have",), ("a third\nanother line that others have!",)], "text string")
+    every = lines.line_texts(df, "text", np.full(lines.MARKS // 8, 255, np.uint8)).collect()
+    assert len(every) == 4
+    wanted = [r for r in every if r._text.startswith(b"another")]
+    bits = lines.marks(spark.createDataFrame([(r._key,) for r in wanted], "_key bigint"))
+    assert bits.nbytes == lines.MARKS // 8
+    assert {r._text for r in lines.line_texts(df, "text", bits).collect()} == {r._text for r in wanted}
